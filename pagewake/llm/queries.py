@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, url_filters
-from .common import table
+from . import bpe, decontaminate, html_text, language_id, url_filters
+from .common import fold, table
 
 #: Host, path, verdict.
 URL_RULES = (
@@ -20,6 +20,18 @@ URL_RULES = (
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from three of four folds of the keys; `held_out` marks the fourth."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language_id.train(docs, ~held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
 
@@ -32,7 +44,12 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, listed, URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op6_url_filters)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op5_bpe, op6_url_filters, op10_decontaminate)}
 
 _OP6 = """
 WITH cut AS (
