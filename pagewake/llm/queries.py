@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language_id, url_filters
+from . import bpe, decontaminate, html_text, language_id, near_duplicates, url_filters
 from .common import fold, table
 
 #: Host, path, verdict.
@@ -44,12 +44,17 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, listed, URL_RULES)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-word shingles, similarity 0.8."""
+    return near_duplicates.find(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op5_bpe, op6_url_filters, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op5_bpe, op6_url_filters, op9_near_duplicates, op10_decontaminate)}
 
 _OP6 = """
 WITH cut AS (
