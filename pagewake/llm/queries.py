@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language_id, near_duplicates, url_filters
+from . import bpe, decontaminate, html_text, language_id, line_dedup, near_duplicates, url_filters
 from .common import fold, table
 
 #: Host, path, verdict.
@@ -44,6 +44,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, listed, URL_RULES)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text left of each document and how many lines went."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_removed")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity 0.8."""
     return near_duplicates.find(table(spark, sf_dir, "documents"), size=2, percent=80)
@@ -54,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op5_bpe, op6_url_filters, op9_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op5_bpe, op6_url_filters, op8_line_dedup, op9_near_duplicates, op10_decontaminate)}
 
 _OP6 = """
 WITH cut AS (
@@ -79,4 +84,32 @@ SELECT k.page_id, k.host, k.path, f.rule,
 FROM keyed k LEFT JOIN fits f ON f.url = k.url LEFT JOIN listed l ON l.canon = k.canon
 """
 
-ORACLE = {"op6_url_filters": _OP6}
+_OP8 = """
+WITH split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), line AS (
+  SELECT doc_id, unnest(generate_series(1, len(lines))) AS i, unnest(lines) AS line FROM split
+), told AS (
+  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) + 1 >= 50 AS long FROM line
+), ended AS (
+  SELECT *, CASE WHEN long OR coalesce(lead(long) OVER w, true) OR (i >= 2 AND (h + 31 * lag(h) OVER w) % 3 = 0) THEN 1 ELSE 0 END AS cut
+  FROM told WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), placed AS (
+  SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM ended
+), chunk AS (
+  SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM placed GROUP BY doc_id, place
+), counted AS (
+  SELECT *, length(body) - length(replace(replace(body, chr(10), ' '), ' ', '')) + 1 AS words FROM chunk
+), gone AS (
+  SELECT doc_id, place FROM (
+    SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, place) AS nth FROM counted WHERE (n > 1 AND words >= 20) OR words >= 50
+  ) WHERE nth > 1
+), remade AS (
+  SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.i) FILTER (g.place IS NULL) AS text, count(g.place) AS n_removed
+  FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.place = p.place GROUP BY p.doc_id
+)
+SELECT d.doc_id, CASE WHEN r.doc_id IS NULL THEN d.text ELSE coalesce(r.text, '') END AS text, coalesce(r.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN remade r ON r.doc_id = d.doc_id
+"""
+
+ORACLE = {"op8_line_dedup": _OP8, "op6_url_filters": _OP6}
