@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language_id, line_dedup, near_duplicates, url_filters
+from . import bpe, decontaminate, html_text, language_id, line_dedup, near_duplicates, secrets, url_filters
 from .common import fold, table
 
 #: Host, path, verdict.
@@ -44,6 +44,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, listed, URL_RULES)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text left of each document and how many lines went."""
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_removed")
@@ -59,7 +63,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op5_bpe, op6_url_filters, op8_line_dedup, op9_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op5_bpe, op6_url_filters, op7_secrets, op8_line_dedup, op9_near_duplicates, op10_decontaminate)}
 
 _OP6 = """
 WITH cut AS (
@@ -84,6 +88,49 @@ SELECT k.page_id, k.host, k.path, f.rule,
 FROM keyed k LEFT JOIN fits f ON f.url = k.url LEFT JOIN listed l ON l.canon = k.canon
 """
 
+
+
+def _op7_kind(kind: int, pattern: str, keep: str = "true", group: int = 0) -> str:
+    """Spans of one kind as rows; the lengths of gaps and matches add up."""
+    return f"""
+  SELECT doc_id, {kind} AS kind, total - length(hit) AS start, total AS "end" FROM (
+    SELECT doc_id, hit, value, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM (
+      SELECT doc_id, unnest(generate_series(1, len(hits))) AS i, unnest(hits) AS hit, unnest(vals) AS value, unnest(gaps[1:len(hits)]) AS gap FROM (
+        SELECT doc_id, regexp_extract_all(body, $${pattern}$$) AS hits, regexp_extract_all(body, $${pattern}$$, {group}) AS vals, string_split_regex(body, $${pattern}$$) AS gaps FROM docs
+      ))) WHERE {keep}"""
+
+
+_MIXED = "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')"
+_OP7 = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS body FROM documents
+), base AS ({_op7_kind(0, secrets.ASSIGN, "length(value) >= 12", 2)}
+  UNION ALL {_op7_kind(1, secrets.ACCESS)}
+  UNION ALL {_op7_kind(2, secrets.HEX)}
+), weak AS (
+  SELECT * FROM ({_op7_kind(3, secrets.WEAK_ID)}
+  UNION ALL {_op7_kind(4, secrets.WEAK_SECRET, _MIXED)}
+  UNION ALL {_op7_kind(5, secrets.ENDPOINT)}) w
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.start < w."end" AND w.start < b."end")
+), parts AS (
+  SELECT doc_id, start, kind IN (1, 3) AS is_id, kind IN (0, 2, 4) AS is_secret FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)
+), near AS (
+  SELECT w.doc_id, w.kind, w.start, w."end", bool_or(p.is_id) AS has_id, bool_or(p.is_secret) AS has_secret
+  FROM weak w JOIN parts p ON p.doc_id = w.doc_id AND abs(p.start - w.start) <= 400 GROUP BY ALL
+), every AS (
+  SELECT doc_id, kind, start, "end" FROM base
+  UNION ALL SELECT doc_id, kind, start, "end" FROM near WHERE CASE kind WHEN 3 THEN has_secret WHEN 4 THEN has_id ELSE has_id AND has_secret END
+), named AS (
+  SELECT doc_id, kind, start, ['assign', 'access', 'hex', 'access_id', 'secret', 'endpoint'][kind + 1] || ':' || start::BIGINT || ':' || "end"::BIGINT AS span FROM every
+), told AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM named GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id
+"""
+
 _OP8 = """
 WITH split AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
@@ -112,4 +159,4 @@ SELECT d.doc_id, CASE WHEN r.doc_id IS NULL THEN d.text ELSE coalesce(r.text, ''
 FROM documents d LEFT JOIN remade r ON r.doc_id = d.doc_id
 """
 
-ORACLE = {"op8_line_dedup": _OP8, "op6_url_filters": _OP6}
+ORACLE = {"op7_secrets": _OP7, "op8_line_dedup": _OP8, "op6_url_filters": _OP6}
