@@ -8,7 +8,8 @@ number one less than its members. Candidates are confirmed on the full sets.
 
 Stars alone could miss a link between two members that are both unlike the centre. So buckets
 that still hold several components are worked on: small ones compare the members of different
-components, large ones are split by a second band, and again. No bucket is capped or dropped.
+components, the members of large ones are compared where their rarest shingles (an exact prefix
+filter) allow the similarity. No bucket is capped or dropped.
 
 Null or wordless texts have an empty set and are linked with nothing. Rows with a null key are
 not linked: component_id is null and kept is true. Repeated rows are copies of each other; of
@@ -33,8 +34,6 @@ BANDS, ROWS = 36, 6
 BINS = BANDS * ROWS
 #: A bucket of several components and at most so many members compares them in pairs.
 SMALL = 48
-#: Times that large buckets are split by another band.
-SPLITS = 3
 
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 ORDER = np.random.default_rng(9)
@@ -141,6 +140,24 @@ def pairs(buckets: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("a < b AND la <> lb").select("a", "an", "b", "bn")
 
 
+def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components, of large buckets, that can have the similarity.
+
+    Shingles are ranked by rarity among the members. Two sets that are similar enough have their
+    first common shingle early in both, with enough places left behind it to make up the overlap.
+    Members that owe their bucket to a frequent passage are told apart by their rare shingles.
+    """
+    each = members.select("id", "n", "label").distinct().join(sets.dropDuplicates(["id"]), "id").select("id", "n", "label", F.explode("shingles").alias("h"))
+    ranked = each.join(each.groupBy("h").count(), "h").groupBy("id", "n", "label").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("all"))
+    early = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    posted = ranked.select("id", "n", "label", F.posexplode(early).alias("at", "s")).select("id", "n", "label", "at", "s.h")
+    shared = posted.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    left = posted.join(shared, "h").select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("label").alias("la"), F.col("at").alias("ia"))
+    right = posted.select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("lb"), F.col("at").alias("ib"))
+    room = F.least(F.col("an") - F.col("ia"), F.col("bn") - F.col("ib")) * (100 + percent) >= (F.col("an") + F.col("bn")) * percent
+    return left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & room).select("a", "an", "b", "bn")
+
+
 def plausible(found: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs a < b whose sizes allow the similarity."""
     ordered = found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "an", "bn")
@@ -172,28 +189,13 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     tested = plausible(stars(buckets), percent).checkpoint()
     links = confirmed(tested, sets, percent).checkpoint()
     labels = components(links)
-    for split in range(SPLITS + 1):
-        named = buckets.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed_up = named.groupBy("bucket").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "members")
-        open_now = named.join(mixed_up, "bucket").checkpoint()
-        small = open_now if split == SPLITS else open_now.where(F.col("members") <= SMALL)
-        large = open_now.where(F.col("members") > SMALL)
-        again = split < SPLITS and large.limit(1).count() > 0
-        found = pairs(small)
-        if again:
-            by_id = reps.select("id", F.posexplode("bands").alias("band", "value"))
-            buckets = large.select("id", "n", F.col("bucket").alias("outer")).join(by_id, "id").select("id", "n", F.xxhash64("outer", "band", "value").alias("bucket"))
-            alone = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
-            buckets = buckets.join(alone, "bucket").checkpoint()
-            found = found.unionByName(stars(buckets))
-        new = plausible(found, percent).join(tested, ["a", "b"], "left_anti").checkpoint()
-        tested = tested.unionByName(new)
-        more = confirmed(new, sets, percent).checkpoint()
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
-        if not again:
-            break
+    named = buckets.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = named.groupBy("bucket").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "members")
+    undecided = named.join(several, "bucket").checkpoint()
+    found = plausible(pairs(undecided.where(F.col("members") <= SMALL)).unionByName(rare_pairs(undecided.where(F.col("members") > SMALL), sets, percent)), percent)
+    more = confirmed(found.join(tested, ["a", "b"], "left_anti"), sets, percent).checkpoint()
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
 
     named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = rows.join(named, "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("label", "id")))
