@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_text, language_id, line_dedup, near_duplicates, secrets, url_filters
+from . import ann, bpe, decontaminate, html_text, language_id, line_dedup, lm_score, near_duplicates, secrets, url_filters
 from .common import fold, table
 
 #: Host, path, verdict.
@@ -32,6 +32,14 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from four of five folds of the keys; `held_out` marks the fifth."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    found = lm_score.score(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -67,7 +75,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op4_ann, op5_bpe, op6_url_filters, op7_secrets, op8_line_dedup, op9_near_duplicates, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_lm_score, op4_ann, op5_bpe, op6_url_filters, op7_secrets, op8_line_dedup, op9_near_duplicates, op10_decontaminate)}
 
 _OP6 = """
 WITH cut AS (
