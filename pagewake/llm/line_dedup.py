@@ -9,7 +9,7 @@ place) stays; the others are removed after their bytes have been compared with t
 Chunks count if they have several lines and `FEW` words, or `LONG` words; repeats of single short
 lines (headings, licence lines) are left alone.
 
-Hashes find the repeated chunks; text moves only for documents that hold one, and once more to
+Hashes, checkpointed so that texts are cut once, find the repeated chunks; text moves only for documents that hold one, and once more to
 be rewritten. A frequent chunk is reduced before the shuffle when it is counted; when it is
 compared, AQE may split its partition, as its first occurrence is a single row.
 
@@ -26,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_folder
+
 WINDOW, MODULUS = 2, 3
 FEW, LONG = 20, 50
 FACTOR = 31
@@ -78,9 +80,10 @@ def counts(chunk: Column) -> Column:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without repeated chunks."""
+    shared_folder(docs.sparkSession)
     base = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("body"))
     hashed = F.transform(F.filter(chunks(F.col("body")), counts), lambda c: F.struct(F.xxhash64(c["body"]).alias("h"), c["place"].alias("place")))
-    every = base.withColumn("hashed", hashed).select("id", F.explode("hashed").alias("c")).select("id", "c.*")
+    every = base.withColumn("hashed", hashed).select("id", F.explode("hashed").alias("c")).select("id", "c.*").checkpoint()
     firsts = every.groupBy("h").agg(F.min(F.struct("id", "place")).alias("first"), F.max(F.struct("id", "place")).alias("last")).where("first <> last").select("h", "first")
     repeated = every.join(firsts, "h").groupBy("id").agg(F.collect_set(F.struct("place", "h", (F.struct("id", "place") == F.col("first")).alias("is_first"))).alias("found"))
 
