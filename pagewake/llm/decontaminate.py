@@ -18,7 +18,8 @@ carried. An empty benchmark hits nothing.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,6 +86,40 @@ def spans(found: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+def parts(benchmark: DataFrame, item: str, item_text: str, width: int, pass_bytes: int) -> list[Callable]:
+    """For each pass, what broadcasts its searchers: items of about `pass_bytes` bytes of text."""
+    listed = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("name"), F.col(item_text).alias("body")).where(F.col("body").isNotNull())
+    total = listed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    passes = max(1, -(-total // pass_bytes))
+
+    def part(i: int):
+        rows = listed.where(F.pmod(F.xxhash64("name", "body"), F.lit(passes)) == i).toLocalIterator()
+        return benchmark.sparkSession.sparkContext.broadcast(searchers(((r["name"], r["body"]) for r in rows), width))
+
+    return [partial(part, i) for i in range(passes)]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows that hold no benchmark window, with all their columns; no shuffle."""
+    at = docs.columns.index(text)
+
+    def filter_by(tables):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = (words(v.as_py()) for v in batch.column(at))
+                yield batch.filter(pa.array([not any(True for s in tables.value for _ in s.search(w)) for w in texts], pa.bool_()))
+
+        return run
+
+    out = docs
+    for i, table in enumerate(parts(benchmark, item, item_text, width, pass_bytes)):
+        if i:
+            shared_folder(docs.sparkSession)
+            out = out.checkpoint()
+        out = out.mapInArrow(filter_by(table()), docs.schema)
+    return out
+
+
 def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 10, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """A row for each document: key, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans and items.
 
@@ -93,9 +128,8 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     kind = docs.schema[key].dataType.simpleString()
     names = (key, "text", "n_words", "hit_spans", "items")
     schema = f"`{key}` {kind}, text string, n_words bigint, hit_spans array<bigint>, items array<string>"
-    listed = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("name"), F.col(item_text).alias("body")).where(F.col("body").isNotNull())
-    total = listed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    passes = max(1, -(-total // pass_bytes))
+    tables = parts(benchmark, item, item_text, width, pass_bytes)
+    passes = len(tables)
 
     def finder(tables, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +152,7 @@ def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     state = docs.select(F.col(key), F.col(text).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("hit_spans"), F.array().cast("array<string>").alias("items"))
     for i in range(passes):
-        part = listed.where(F.pmod(F.xxhash64("name", "body"), F.lit(passes)) == i)
-        tables = docs.sparkSession.sparkContext.broadcast(searchers(((r["name"], r["body"]) for r in part.toLocalIterator()), width))
-        state = state.mapInArrow(finder(tables, i == passes - 1), schema)
+        state = state.mapInArrow(finder(tables[i](), i == passes - 1), schema)
         if i < passes - 1:
             shared_folder(docs.sparkSession)
             state = state.checkpoint()

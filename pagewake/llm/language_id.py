@@ -156,3 +156,16 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [key, "lang_pred", "score"])
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+
+
+def determined(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows whose language can be told, with all their columns; one pass, no shuffle."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (v.as_py() for v in batch.column(at))
+            keep = [bool(t and held.value and LETTER.search(t)) and held.value.predict(features(t))[0] != UNDETERMINED for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
