@@ -33,7 +33,7 @@ TOKENS = 1_000_000
 POSITION = (1 << 32) - 1
 MARKS = (".", ",", ";", ":", "!", "?")
 
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The public pre-tokenizing pattern of byte-level BPE, with its white space spelled out.
 PATTERN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
