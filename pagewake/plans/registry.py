@@ -29,3 +29,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from pagewake.plans import changes, scans, sections, texts, urls  # noqa: E402, F401
