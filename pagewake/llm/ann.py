@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import shared_folder
 
 #: Pivots, and how many of them make a vector's order.
-PIVOTS, ORDER = 256, 96
+PIVOTS, ORDER = 512, 64
 #: Rows of a block of candidates or of queries.
 BLOCK = 4096
 #: Share of a block's rows, and least number, that are reranked for each query.
@@ -56,10 +56,10 @@ def nearest(query: np.ndarray, order: np.ndarray, x: np.ndarray, keys: np.ndarra
     rows, places, starts = files
     length, n = len(order), len(keys)
     # The footrule distance is a constant less twice the sum, over shared pivots, of length - max(place, place).
-    gain = np.zeros(n, np.int64)
-    for place, pivot in enumerate(order):
-        at = slice(starts[pivot], starts[pivot + 1])
-        gain[rows[at]] += length - np.maximum(places[at], place)
+    files_read = [slice(starts[p], starts[p + 1]) for p in order]
+    read = np.concatenate([rows[f] for f in files_read])
+    later = np.maximum(np.concatenate([places[f] for f in files_read]), np.repeat(np.arange(length), [f.stop - f.start for f in files_read]))
+    gain = np.bincount(read, weights=length - later, minlength=n).astype(np.int64)
     wanted = max(LEAST, k + 1, int(np.ceil(SHARE * n)))
     if wanted < n:
         rank = gain * n + (n - 1 - np.arange(n))  # ties to the smaller key
