@@ -171,4 +171,48 @@ SELECT d.doc_id, CASE WHEN r.doc_id IS NULL THEN d.text ELSE coalesce(r.text, ''
 FROM documents d LEFT JOIN remade r ON r.doc_id = d.doc_id
 """
 
-ORACLE = {"op7_secrets": _OP7, "op8_line_dedup": _OP8, "op6_url_filters": _OP6}
+_AZ = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Exact similarities of all pairs that share a shingle, then everything reachable.
+_OP9 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_AZ.format(t="coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 1 THEN [words[1]] ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS s FROM w
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach(v, u) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.v, e.y FROM reach r JOIN both_ways e ON e.x = r.u
+)
+SELECT d.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(r.u) AS component_id, d.doc_id = min(r.u) AS kept
+FROM documents d JOIN reach r ON r.v = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+_WORDS10 = f"regexp_extract_all({_AZ.format(t="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP10 = f"""
+WITH d AS (
+  SELECT doc_id, {_WORDS10} AS words FROM documents
+), it AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS name, {_WORDS10} AS words FROM benchmark
+), iw AS (
+  SELECT DISTINCT name, least(10, len(words)) AS l, unnest(list_transform(range(1, len(words) - least(10, len(words)) + 2), lambda i: words[i:i + least(10, len(words)) - 1])) AS w FROM it WHERE len(words) > 0
+), dw AS (
+  SELECT doc_id, l, unnest(range(1, len(words) - l + 2)) AS i, unnest(list_transform(range(1, len(words) - l + 2), lambda i: words[i:i + l - 1])) AS w FROM d, (SELECT DISTINCT l FROM iw) WHERE len(words) >= l
+), hit AS (
+  SELECT doc_id, i, iw.l, name FROM dw JOIN iw ON iw.l = dw.l AND iw.w = dw.w
+), place AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hit) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, name FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN place USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE = {"op9_near_duplicates": _OP9, "op10_decontaminate": _OP10, "op7_secrets": _OP7, "op8_line_dedup": _OP8, "op6_url_filters": _OP6}
