@@ -87,3 +87,34 @@ def redirect_breaks(hops: DataFrame, key: str) -> DataFrame:
 def access(status: Column, allowed_: Column) -> Column:
     """What the robots response of an origin lets a request do."""
     return F.when(status.isin(404, 410), "allow").when(status.isin(401, 403), "reject").when(status.between(200, 299), F.when(allowed_, "allow").otherwise("reject")).otherwise("error")
+
+
+#: For each kind of robots observation but `valid_200`, outcome, reason and whether to retry.
+DISPOSITIONS = {
+    "http_404": ("allow", "robots.absent", False),
+    "http_401": ("reject", "robots.auth_required", False),
+    "http_403": ("reject", "robots.forbidden", False),
+    "timeout": ("error", "robots.timeout", True),
+    "dns_error": ("error", "robots.dns_error", True),
+    "network_error": ("error", "robots.network_error", True),
+    "parse_error": ("error", "robots.parse_error", False),
+}
+
+
+def disposition(kind: Column, allowed_: Column) -> Column:
+    """Struct of outcome, reason and retryable of an access decision; null for an unknown kind."""
+    def of(outcome: Column, reason: Column, retry: bool) -> Column:
+        return F.struct(outcome.alias("outcome"), reason.alias("reason"), F.lit(retry).alias("retryable"))
+
+    out = F.when(kind == "valid_200", of(F.when(allowed_, "allow").otherwise("reject"), F.when(allowed_, "robots.allowed").otherwise("robots.disallowed"), False))
+    for name, (outcome, reason, retry) in DISPOSITIONS.items():
+        out = out.when(kind == name, of(F.lit(outcome), F.lit(reason), retry))
+    return out
+
+
+def has_userinfo(text: Column) -> Column:
+    """Whether a text holds a URI with user information, as it is or percent-decoded once or twice."""
+    once = F.replace(F.replace(F.replace(text, F.lit("%40"), F.lit("@")), F.lit("%3A"), F.lit(":")), F.lit("%2F"), F.lit("/"))
+    twice = F.replace(F.replace(F.replace(F.replace(once, F.lit("%25"), F.lit("%")), F.lit("%40"), F.lit("@")), F.lit("%3A"), F.lit(":")), F.lit("%2F"), F.lit("/"))
+    mark = F.lit(r"//[^/?#\s@]+@")
+    return F.rlike(text, mark) | F.rlike(once, mark) | F.rlike(twice, mark)

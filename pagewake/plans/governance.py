@@ -87,3 +87,24 @@ def lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strict_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", html.normal_http_url("url").alias("strict_url"))
+
+
+_KINDS = ("valid_200", *governance.DISPOSITIONS)
+
+
+@register(
+    f"""WITH t AS (SELECT doc_id, [{", ".join(f"'{k}'" for k in _KINDS)}][doc_id % {len(_KINDS)} + 1] AS kind, n_chars > 1000 AS ok FROM documents) SELECT doc_id,
+    CASE kind WHEN 'valid_200' THEN CASE WHEN ok THEN 'allow' ELSE 'reject' END {" ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in governance.DISPOSITIONS.items())} END AS outcome,
+    CASE kind WHEN 'valid_200' THEN CASE WHEN ok THEN 'robots.allowed' ELSE 'robots.disallowed' END {" ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in governance.DISPOSITIONS.items())} END AS reason,
+    kind IN ('timeout', 'dns_error', 'network_error') AS retryable FROM t"""
+)
+def access_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("kind", F.get(F.array(*map(F.lit, _KINDS)), F.col("doc_id") % len(_KINDS)))
+    return d.select("doc_id", governance.disposition(F.col("kind"), F.col("n_chars") > 1000).alias("d")).select("doc_id", "d.*")
+
+
+@register("SELECT page_id, page_id % 3 < 2 AS has_userinfo FROM pages")
+def url_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs with user information, plain in a third of the rows and escaped in another."""
+    made = F.when(F.col("page_id") % 3 == 0, F.replace("url", F.lit("://"), F.lit("://u:p@"))).when(F.col("page_id") % 3 == 1, F.replace("url", F.lit("://"), F.lit(":%2F%2Fu:p%2540"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", governance.has_userinfo(made).alias("has_userinfo"))

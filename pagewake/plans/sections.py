@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewake.operators import sections
+from pagewake.operators import sections, sources_of_files
 from pagewake.plans.registry import register
 from pagewake.sources import views
 from pagewake.sources.views import sql_path, sql_segments
@@ -117,3 +117,19 @@ def section_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def inventory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.classify(_inventory(spark, sf_dir)).groupBy("section_level").agg(F.sum("page_count").alias("pages"), F.count("*").alias("n_sections"), F.sum("doc_link_count").alias("documents"), F.count_distinct("site").alias("n_sites"))
+
+
+def _sql_source(field: int) -> str:
+    def cases(table: tuple, text: str) -> str:
+        def value(e: tuple) -> str:
+            return f"'{e[0]}'" if field == 0 else f"CASE WHEN files >= {e[2]} THEN '{e[field][0]}' ELSE '{e[field][1]}' END"
+
+        return " ".join(f"WHEN {' OR '.join(f"contains({text}, '{t}')" for t in e[1])} THEN {value(e)}" for e in table)
+
+    return f"CASE {cases(sources_of_files.IN_URL_OR_TITLE, 'head')} {cases(sources_of_files.IN_EXCERPT, 'body')} ELSE '{'general_reference' if field == 0 else 'medium'}' END"
+
+
+@register(f"WITH {_PAGES}, t AS (SELECT url, docs AS files, lower({sql_path('url')} || ' ' || 'Title') AS head, CASE WHEN docs > 0 THEN 'a journal of 1999' ELSE 'since 2001' END AS body FROM p) SELECT url, {_sql_source(0)} AS source_category, {_sql_source(3)} AS business_importance, {_sql_source(4)} AS conversion_priority FROM t")
+def source_page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir).select("url", F.lit("Title").alias("title"), F.when(F.col("docs") > 0, "A Journal of 1999").otherwise("since 2001").alias("excerpt"), F.col("docs").alias("files"))
+    return sources_of_files.classify(p, "url", "title", "excerpt", "files").select("url", "source_category", "business_importance", "conversion_priority")
