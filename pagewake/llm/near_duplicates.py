@@ -32,9 +32,14 @@ from .components import components
 #: A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**ROWS)**BANDS = 2e-5.
 BANDS, ROWS = 36, 6
 BINS = BANDS * ROWS
+#: Bits of the parity bitmap. Two sets differ in at least as many shingles as their bitmaps in bits.
+PARITY = 1024
 #: A bucket of several components and at most so many members compares them in pairs.
 SMALL = 48
 
+#: Words whose hashes a worker keeps.
+KNOWN_WORDS = 50_000
+
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 ORDER = np.random.default_rng(9)
 #: The bins that an empty bin tries, in order.
@@ -49,10 +54,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; starts anew when large."""
+    """64-bit hashes of words, some 200 bytes each; starts anew at KNOWN_WORDS."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -97,13 +102,19 @@ def bands(found: np.ndarray) -> np.ndarray:
     return mixed(rows.sum(1, dtype=np.uint64)).view(np.int64)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """A bitmap of `PARITY` bits: of how many shingles fall on a bit, whether the number is odd."""
+    odd = np.bincount((found & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)]).astype(np.int64, copy=False)))
 
 
 def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """id, n, digest of the set (null if empty) and band numbers of each row."""
+    """id, n, digest of the set (null if empty), band numbers and parity bitmap of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +122,10 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             n = pa.array([len(s) for s in sets], pa.int64())
             found = lists([bands(s) if len(s) else np.empty(0, np.int64) for s in sets])
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(digest, pa.binary()), found], ["id", "n", "digest", "bands"])
+            bits = lists([parities(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(digest, pa.binary()), found, bits], ["id", "n", "digest", "bands", "bits"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n bigint, digest binary, bands array<bigint>")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n bigint, digest binary, bands array<bigint>, bits array<bigint>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -127,17 +139,19 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def stars(buckets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b): the members of each bucket with its centre, the member of least hash."""
-    rank = F.struct(F.xxhash64("id", "bucket").alias("h"), "id", "n")
-    centres = buckets.groupBy("bucket").agg(F.min(rank).alias("c"), F.max(rank).alias("d")).where("c <> d").select("bucket", "c")
-    return buckets.join(centres, "bucket").select(F.col("c.id").alias("a"), F.col("c.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
+    """Candidate pairs (a, b): the members of each bucket with its centre, the member of least hash.
+
+    The hash is the same in all buckets, so that similar buckets have the same centre and pairs recur.
+    """
+    rank = F.struct(F.xxhash64("id").alias("h"), "id", "n", "bits")
+    centres = buckets.groupBy("bucket").agg(F.min(rank).alias("c"))
+    return buckets.join(centres, "bucket").select(F.col("c.id").alias("a"), F.col("c.n").alias("an"), F.col("c.bits").alias("abits"), F.col("id").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits"))
 
 
 def pairs(buckets: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of different components, of small buckets."""
-    left = buckets.select("bucket", F.col("id").alias("a"), F.col("n").alias("an"), F.col("label").alias("la"))
-    right = buckets.select("bucket", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("lb"))
-    return left.join(right, "bucket").where("a < b AND la <> lb").select("a", "an", "b", "bn")
+    left, right = (buckets.select("bucket", *[F.col(c).alias(f"{side}{name}") for c, name in (("id", ""), ("n", "n"), ("bits", "bits"), ("label", "l"))]) for side in "ab")
+    return left.join(right, "bucket").where("a < b AND al <> bl").select("a", "an", "abits", "b", "bn", "bbits")
 
 
 def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -155,13 +169,17 @@ def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = posted.join(shared, "h").select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("label").alias("la"), F.col("at").alias("ia"))
     right = posted.select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("lb"), F.col("at").alias("ib"))
     room = F.least(F.col("an") - F.col("ia"), F.col("bn") - F.col("ib")) * (100 + percent) >= (F.col("an") + F.col("bn")) * percent
-    return left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & room).select("a", "an", "b", "bn")
+    found = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & room).select("a", "an", "b", "bn").distinct()
+    bits = members.select("id", "bits").dropDuplicates(["id"])
+    return found.join(bits.toDF("a", "abits"), "a").join(bits.toDF("b", "bbits"), "b").select("a", "an", "abits", "b", "bn", "bbits")
 
 
 def plausible(found: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a < b whose sizes allow the similarity."""
-    ordered = found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "an", "bn")
-    return ordered.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent).select("a", "b").distinct()
+    """Distinct pairs a < b that can have the similarity, by their sizes and bitmaps."""
+    apart = F.aggregate(F.zip_with("abits", "bbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda out, x: out + x)
+    both = F.col("an") + F.col("bn")
+    common = F.least(F.floor((both - apart) / 2), "an", "bn")
+    return found.where((F.col("a") != F.col("b")) & ((100 + percent) * common >= percent * both)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def confirmed(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,10 +195,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     shared_folder(docs.sparkSession)
     rows = sketches(docs, key, text, size).checkpoint()
     classes = rows.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = rows.join(classes, "digest").where("id = rep").select("id", "n", "bands").dropDuplicates(["id"])
-    posted = reps.select("id", "n", F.posexplode("bands").alias("band", "value")).select("id", "n", F.xxhash64("band", "value").alias("bucket")).repartition("bucket")
+    reps = rows.join(classes, "digest").where("id = rep").select("id", "n", "bands", "bits").dropDuplicates(["id"])
+    posted = reps.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket")).repartition("bucket")
     crowded = posted.groupBy("bucket").count().where("count > 1").select("bucket")
-    buckets = posted.join(crowded, "bucket").checkpoint()
+    buckets = posted.join(crowded, "bucket").join(reps.select("id", "n", "bits"), "id").checkpoint()
 
     members = buckets.select(F.col("id").alias(key)).distinct()
     texts = docs.select(F.col(key), F.col(text).alias("text")).join(members.hint("shuffle_hash"), key, "left_semi").select(F.col(key).alias("id"), "text")
