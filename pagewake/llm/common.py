@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,20 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def shared_folder(spark: SparkSession, fallback: str = "/tmp/checkpoints") -> None:
-    """Sets a checkpoint folder where neither the session nor the cluster names one (tests)."""
+def shared_folder(spark: SparkSession, fallback: str = "/tmp/checkpoints") -> str:
+    """The checkpoint folder; sets one where neither the session nor the cluster names any (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+    return sc.getCheckpointDir()
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """The rows from a table of their own in the shared folder.
+
+    As a checkpoint it cuts the lineage. Spark knows a table's size, though, and so plans joins with a
+    small one without a shuffle, and reads it in as few tasks as its size asks for.
+    """
+    folder = f"{shared_folder(rows.sparkSession)}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

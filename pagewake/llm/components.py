@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,16 +13,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     A step takes the least label among a vertex and its neighbours, then that label's own label, so
     the number of steps grows with the logarithm of the longest path in star-shaped graphs.
-    Labels are checkpointed at each step; only a count of changes reaches the driver.
+    Labels are written at each step, so that Spark joins them by size; only whether any has changed reaches the driver.
     """
-    shared_folder(edges.sparkSession)
-    both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u"))).distinct().checkpoint()
-    labels = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("label")).checkpoint()
+    both = written(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u"))).distinct())
+    labels = written(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("label")))
     while True:
         seen = both.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("label").alias("near"))
         better = labels.join(seen, "v").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        stepped = better.join(jump, "label").select("v", "was", F.least("label", "further").alias("label")).checkpoint()
+        stepped = written(better.join(jump, "label").select("v", "was", F.least("label", "further").alias("label")))
         changed = stepped.where("label <> was").limit(1).count()
         labels = stepped.select("v", "label")
         if not changed:

@@ -164,7 +164,7 @@ def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     each = members.select("id", "n", "label").distinct().join(sets.dropDuplicates(["id"]), "id").select("id", "n", "label", F.explode("shingles").alias("h"))
     ranked = each.join(each.groupBy("h").count(), "h").groupBy("id", "n", "label").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("all"))
     early = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    posted = ranked.select("id", "n", "label", F.posexplode(early).alias("at", "s")).select("id", "n", "label", "at", "s.h")
+    posted = ranked.select("id", "n", "label", F.posexplode(early).alias("at", "s")).select("id", "n", "label", "at", "s.h").checkpoint()
     shared = posted.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
     left = posted.join(shared, "h").select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("label").alias("la"), F.col("at").alias("ia"))
     right = posted.select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("lb"), F.col("at").alias("ib"))
