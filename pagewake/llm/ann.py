@@ -6,15 +6,15 @@ place in their order. A query reads the files of its own nearest pivots and so g
 footrule distance (places of missing pivots count as the order's length) to every candidate
 that shares a pivot; the closest are reranked by inner product in double precision.
 
-Pivots are a bounded sample (`n_pivots` vectors of least key hash), the only vectors at the
+Pivots are a bounded sample (`n_pivots` vectors of least hash, equal rows once), the only vectors at the
 driver. Blocks are cut from the partitions as they are read, at most `BLOCK` rows each, so equal
 vectors or keys gather nowhere. Query blocks meet candidate blocks by an equi-join on the number
 of the query block: each pair of blocks is one row and one index search.
 
 Vectors that are null, zero or empty, hold null or non-finite components, or have another
 dimension than the pivots take no part; nor do rows with a null key. Candidates with the query's key
-are its own. Repeated rows of a key count once: of them the largest product is taken. Ties go to
-the smaller key. Other columns are not carried.
+are its own. Repeated rows of a key count once, in each block too: of them the largest product is
+taken before the k best keys are cut. Ties go to the smaller key. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from .common import shared_folder
 PIVOTS, ORDER = 512, 64
 #: Rows of a block of candidates or of queries.
 BLOCK = 4096
-#: Share of a block's rows, and least number, that are reranked for each query.
+#: Share of a block's keys, and least number, that are reranked for each query.
 SHARE, LEAST = 0.3, 400
 
 
@@ -51,25 +51,31 @@ def inverted_files(order: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.nda
     return (by_pivot // length).astype(np.int32), (by_pivot % length).astype(np.int32), starts
 
 
-def nearest(query: np.ndarray, order: np.ndarray, x: np.ndarray, keys: np.ndarray, own: int, files: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and inner products of the k best of a block, whose rows are in the order of keys."""
+def nearest(query: np.ndarray, order: np.ndarray, x: np.ndarray, keys: np.ndarray, firsts: np.ndarray, own: int, files: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and largest inner products of the k best keys of a block, whose rows are in the order of keys; firsts are the keys' first rows."""
     rows, places, starts = files
-    length, n = len(order), len(keys)
+    length, n = len(order), len(firsts)
     # The footrule distance is a constant less twice the sum, over shared pivots, of length - max(place, place).
     files_read = [slice(starts[p], starts[p + 1]) for p in order]
     read = np.concatenate([rows[f] for f in files_read])
     later = np.maximum(np.concatenate([places[f] for f in files_read]), np.repeat(np.arange(length), [f.stop - f.start for f in files_read]))
-    gain = np.bincount(read, weights=length - later, minlength=n).astype(np.int64)
+    gain = np.bincount(read, weights=length - later, minlength=len(keys)).astype(np.int64)
+    gain = np.maximum.reduceat(gain, firsts)  # of a key, its closest row's
     wanted = max(LEAST, k + 1, int(np.ceil(SHARE * n)))
     if wanted < n:
         rank = gain * n + (n - 1 - np.arange(n))  # ties to the smaller key
         chosen = np.sort(np.argpartition(-rank, wanted)[:wanted])
     else:
         chosen = np.arange(n)
-    chosen = chosen[keys[chosen] != own]
-    products = (x[chosen] * query).sum(1)
-    best = np.lexsort((keys[chosen], -products))[:k]
-    return chosen[best], products[best]
+    chosen = chosen[keys[firsts[chosen]] != own]
+    if not len(chosen):
+        return chosen, np.zeros(0)
+    sizes = np.diff(firsts, append=len(keys))[chosen]
+    begins = np.cumsum(sizes) - sizes
+    taken = np.repeat(firsts[chosen] - begins, sizes) + np.arange(sizes.sum())
+    products = np.maximum.reduceat((x[taken] * query).sum(1), begins)
+    best = np.lexsort((keys[firsts[chosen]], -products))[:k]
+    return firsts[chosen[best]], products[best]
 
 
 def usable(vector: Column) -> Column:
@@ -108,7 +114,9 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     """query_id, rank (from 1), key and score of the k best found for each query row, against all rows."""
     shared_folder(vectors.sparkSession)
     fit = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asked"))
-    sample = [r["vector"] for r in fit.orderBy(F.xxhash64("key", "vector")).limit(n_pivots).collect()]
+    told_apart = fit.select("key", "vector", F.xxhash64("key", "vector").alias("h"))
+    least = [r["h"] for r in told_apart.select("h").distinct().orderBy("h").limit(n_pivots).collect()]
+    sample = [r["vector"] for r in told_apart.where(F.col("h").isin(least)).dropDuplicates(["h"]).orderBy("h").collect()]
     result = f"query_id bigint, `{key}` bigint, score double"
     if not sample:
         return vectors.sparkSession.createDataFrame([], result.replace(f"`{key}`", f"rank int, `{key}`"))
@@ -135,7 +143,8 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
                 ids, queries = np.frombuffer(qk, np.int64), np.frombuffer(qv).reshape(-1, dimension)
                 k_, x = np.frombuffer(keys, np.int64), np.frombuffer(data).reshape(-1, dimension)
                 files = np.frombuffer(rows, np.int32), np.frombuffer(places, np.int32), np.frombuffer(starts, np.int64)
-                found = [nearest(q, o, x, k_, i, files, k) for i, q, o in zip(ids, queries, orders(queries, told.value, length), strict=True)]
+                firsts = np.flatnonzero(np.append(True, k_[1:] != k_[:-1]))
+                found = [nearest(q, o, x, k_, firsts, i, files, k) for i, q, o in zip(ids, queries, orders(queries, told.value, length), strict=True)]
                 sizes = [len(f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids, sizes)), pa.array(k_[np.concatenate([f[0] for f in found])]), pa.array(np.concatenate([f[1] for f in found]))],

@@ -182,6 +182,19 @@ def test_vectors_that_take_no_part(spark):
     assert ann.search(spark.createDataFrame([], "vec_id bigint, embedding array<double>"), F.lit(True)).count() == 0
 
 
+def test_repeated_keys_take_no_other_neighbour_s_place(spark):
+    x = np.random.default_rng(3).normal(size=(300, 16))
+    x[7] = x[20] * 0.9  # the hot key is near a query
+    ids = [*range(300), *range(300), *[7] * 300]
+    rows = [(i, [float(c) for c in x[i]]) for i in ids]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1), F.col("vec_id") % 20 == 0, k=20, n_pivots=32).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for i in range(0, 300, 20):
+        s = (x * x[i]).sum(1)
+        assert sorted(got[i]) == list(enumerate([j for j in np.lexsort((np.arange(300), -s)) if j != i][:20], 1))
+
+
 # ---- pipeline ----
 
 
