@@ -1,14 +1,17 @@
 """Main-text extraction from HTML by line-block distribution (operator 2).
 
-Markup is stripped into lines: each block element starts a line, inline elements don't, and
-elements that never hold main text (menus, forms, sidebars, comments, scripts ...) leave a gap of
-empty lines. The lengths of the lines are summed over sliding windows; text begins where the sum
-surges over a threshold and ends where it dives to nothing, and the lines between are kept.
-
-Inside a marked region (`article`, `main`) any text is a surge; elsewhere the threshold applies,
-text of links counts nothing, and if no window reaches the threshold the fullest run of lines is
-kept. Character references are decoded, white space inside a line becomes one blank, and lines
-are joined in page order by one blank. Whole pages are read.
+Markup is stripped into lines: each block element with text starts a line, inline elements don't, an
+empty one is an empty line, and elements that never hold main text (menus, forms, sidebars, comments,
+scripts ...) leave a gap of empty lines. An element that only has a part of a compound name to tell it
+(`with-sidebar`) is left out unless it holds more than `SHARE` of the page's text outside links. The
+lengths of the lines are summed over sliding windows; text begins where the sum surges over a
+threshold and ends where it dives to nothing, and the lines between are kept.
+
+Text of links counts nothing, and if no window reaches the threshold the fullest run of lines is kept.
+Lines of a marked region (`article`, `main`) count whole and weigh `SURGE` more; lines outside are
+then left out, unless one run of them holds more text than any region: such marks are of a teaser,
+and the sums decide without them. Character references are decoded, white space inside a line becomes
+one blank, and lines are joined in page order by one blank. Whole pages are read.
 
 A null or empty page gives an empty text. Pages are independent: one row out for each row in,
 repeated rows included; other columns are not carried.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window, and the characters outside links that mark a surge in unmarked pages.
+#: Lines of a window, and the characters outside links that mark a surge.
 WINDOW = 3
 SURGE = 86
+#: Share of a page's text outside links over which a part of a name doesn't drop an element.
+SHARE = 0.5
 
 # Element names of HTML, and the words by which pages name their parts.
 RAW = "script style noscript template title textarea iframe object svg math canvas audio video select xmp noembed noframes"
@@ -50,39 +56,64 @@ NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s
 UNNAMED = set("html body main".split())
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    """Whether an element holds no main text, by its name, its class, id or role, or because it is hidden."""
+def is_boilerplate(tag: str, attributes: str) -> bool | None:
+    """Whether an element holds no main text, by its name, its class, id or role, or because it is hidden; None if only a part of a name says so."""
     if tag in BOILERPLATE:
         return True
     if not attributes or tag in UNNAMED:
         return False
+    found: bool | None = False
     for m in NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if name in ("class", "id", "role") and NAMES.intersection(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        if name in ("class", "id", "role"):
+            if NAMES.intersection(value.split()):
+                return True
+            if NAMES.intersection(re.split(r"[^a-z]+", value)):
+                found = None
+    return found
 
 
 @dataclass
 class Lines:
-    """Text of a page by line; parallel lists of texts, characters outside links, and being in a marked region."""
+    """Text of a page by line; parallel lists of texts, characters outside links, numbers of marked regions (0 outside), doubtful elements around, and the doubtful element whose gap a line is."""
 
     text: list[str] = field(default_factory=lambda: [""])
     weight: list[int] = field(default_factory=lambda: [0])
-    marked: list[bool] = field(default_factory=lambda: [False])
+    region: list[int] = field(default_factory=lambda: [0])
+    around: list[tuple[int, ...]] = field(default_factory=lambda: [()])
+    gap_of: list[int] = field(default_factory=lambda: [0])
 
-    def start(self, marked: bool, gap: int = 1) -> None:
+    def start(self, region: int, around: tuple[int, ...], gap: int = 1, gap_of: int = 0) -> None:
         for _ in range(gap):
             self.text.append("")
             self.weight.append(0)
-            self.marked.append(marked)
+            self.region.append(region)
+            self.around.append(around)
+            self.gap_of.append(gap_of)
+
+    def settled(self) -> Lines:
+        """Without the doubtful elements that hold a small share of the text; the others leave no gap."""
+        held = Counter()
+        weights = [w if t.strip() else 0 for t, w in zip(self.text, self.weight, strict=True)]
+        for w, around in zip(weights, self.around, strict=True):
+            held.update(dict.fromkeys(around, w))
+        total = sum(weights)
+        stay = {d for d, w in held.items() if w > SHARE * total}
+        left = Lines([], [], [], [], [])
+        for t, w, r, around, gap_of in zip(self.text, self.weight, self.region, self.around, self.gap_of, strict=True):
+            if gap_of not in stay:
+                fine = stay.issuperset(around)
+                left.start(r, around)
+                left.text[-1], left.weight[-1] = (t, w) if fine else ("", 0)
+        return left
 
 
 def strip(page: str) -> Lines:
     """Strips the markup of a page."""
     lines, open_tags, dropped, links, regions, at = Lines(), [], 0, 0, 0, 0
+    n_regions, n_doubtful, around, opened = 0, 0, (), None
     closing = {}  # last place of an element's end tag, to tell elements that are never closed
 
     def closed_later(tag: str, place: int) -> bool:
@@ -96,6 +127,16 @@ def strip(page: str) -> Lines:
             if not links:
                 lines.weight[-1] += len(text)
 
+    def start(gap: int = 1, gap_of: int = 0) -> None:
+        lines.start(n_regions if regions else 0, around, gap, gap_of)
+
+    def end(empty: bool) -> None:
+        """Ends a line with text, or an empty one; other white space between tags is no line."""
+        if empty or lines.text[-1].strip():
+            start()
+        else:
+            lines.text[-1], lines.weight[-1] = "", 0
+
     for m in TAG.finditer(page):
         add(page[at : m.start()])
         at = m.end()
@@ -103,36 +144,58 @@ def strip(page: str) -> Lines:
             continue
         block = tag not in INLINE
         if m[2]:
-            if any(tag == t for t, _, _ in open_tags):
+            if any(tag == t for t, *_ in open_tags):
                 while True:
-                    t, drops, region = open_tags.pop()
+                    t, drops, region, doubtful = open_tags.pop()
                     dropped, regions = dropped - drops, regions - region
                     links -= t == "a"
+                    if doubtful:
+                        around = around[:-1]
                     if drops and not dropped:
-                        lines.start(regions > 0, WINDOW + 1)
+                        start(WINDOW + 1)
+                    elif doubtful and not dropped:
+                        start(1)
+                        start(WINDOW, doubtful)
+                        start(1)
                     if region and not regions:
-                        lines.start(False, WINDOW + 1)
+                        start(WINDOW + 1)
                     if t == tag:
                         break
             if block:
-                lines.start(regions > 0)
+                end(opened == tag)
+            opened = None
             continue
-        drops = is_boilerplate(tag, m[4]) and tag not in VOID and closed_later(tag, at)
+        drops = is_boilerplate(tag, m[4])
+        if drops is not False and (tag in VOID or not closed_later(tag, at)):
+            drops = False
+        doubtful = drops is None and not dropped
+        drops = bool(drops)
         region = tag in ("article", "main") and not drops and not dropped
-        if drops and not dropped or region and not regions:
-            lines.start(regions > 0 or region, WINDOW + 1)
+        lasting = tag not in VOID and not m[4].endswith("/") and (drops or region or doubtful or not dropped or closed_later(tag, at))
+        doubtful = n_doubtful + 1 if doubtful and lasting else 0
+        first = region and not regions
+        if lasting:
+            open_tags.append((tag, int(drops), int(region), doubtful))
+            links, regions, n_regions = links + (tag == "a"), regions + region, n_regions + first
+        if doubtful:
+            n_doubtful, around = doubtful, (*around, doubtful)
+            start(1)
+            start(WINDOW, doubtful)
+            start(1)
+        if drops and not dropped or first:
+            start(WINDOW + 1)
         if block:
-            lines.start(regions > 0 or region)
-        if tag not in VOID and not m[4].endswith("/") and (drops or region or not dropped or closed_later(tag, at)):
-            open_tags.append((tag, int(drops), int(region)))
-            dropped, regions, links = dropped + drops, regions + region, links + (tag == "a")
+            end(tag in VOID)
+        if lasting:
+            dropped += drops
+        opened = tag
     add(page[at:])
-    return lines
+    return lines.settled()
 
 
-def keep(texts: list[str], weights: list[int], surge: int) -> list[str]:
-    """The lines between surge and dive points; without any surge, the run of lines with most text."""
-    n = len(texts)
+def surges(weights: list[int], surge: int) -> list[tuple[int, int]]:
+    """Runs of lines between surge and dive points; without any surge, the run with most text."""
+    n = len(weights)
     before = [0]
     for w in weights:
         before.append(before[-1] + w)
@@ -147,7 +210,7 @@ def keep(texts: list[str], weights: list[int], surge: int) -> list[str]:
     chosen = [r for r in runs if max(sums[r[0] : r[1]]) >= surge]
     if not chosen and runs:
         chosen = [max(runs, key=lambda r: sum(weights[r[0] : r[1]]))]
-    return [t for a, b in chosen for t in texts[a:b] if t]
+    return chosen
 
 
 def main_text(page: str | None) -> str:
@@ -156,10 +219,20 @@ def main_text(page: str | None) -> str:
         return ""
     lines = strip(page)
     texts = [" ".join(html.unescape(t).split()) if t else "" for t in lines.text]
-    if any(t and m for t, m in zip(texts, lines.marked, strict=True)):
-        texts = [t if m else "" for t, m in zip(texts, lines.marked, strict=True)]
-        return " ".join(keep(texts, [len(t) for t in texts], 1))
-    return " ".join(keep(texts, [w if t else 0 for t, w in zip(texts, lines.weight, strict=True)], SURGE))
+    plain = [w if t else 0 for t, w in zip(texts, lines.weight, strict=True)]
+    chosen = surges(plain, SURGE)
+    held = Counter()  # text of each region
+    for t, r in zip(texts, lines.region, strict=True):
+        if t and r:
+            held[r] += len(t)
+    if held:
+        weighed = [len(t) + SURGE if t and r else w for t, w, r in zip(texts, plain, lines.region, strict=True)]
+        runs = surges(weighed, SURGE)
+        inside = [r for r in runs if any(t and m for t, m in zip(texts[r[0] : r[1]], lines.region[r[0] : r[1]], strict=True))]
+        outside = [sum(plain[a:b]) for a, b in runs if (a, b) not in inside]
+        if max(outside, default=0) <= max(held.values()):
+            chosen = inside
+    return " ".join(t for a, b in chosen for t in texts[a:b] if t)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

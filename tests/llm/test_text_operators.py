@@ -51,6 +51,17 @@ def test_html_by_the_distribution_alone():
     assert html_text.main_text(page) == " ".join((long + " End.").split())
 
 
+def test_html_body_outside_marks_and_under_compound_names():
+    body = " ".join(["Words of a long paragraph follow each other here."] * 5)
+    # A teaser as the only article; a wrapper with a listed word in its name, and comments in it; wrappers that are no empty lines.
+    assert html_text.main_text(f"<body><div><p>{body}</p></div><article><a href=x>Teaser</a> more soon</article></body>") == body
+    for name in ("content with-sidebar", "has-comments", "search-page"):
+        page = f'<body><div class="{name}"><p>{body}</p><div class="comment-list"><p>me too</p></div></div><div id="search-box"><p>go</p></div></body>'
+        assert html_text.main_text(page) == body
+        assert html_text.main_text(page.replace("<p>W", "<article><p>W").replace(".</p>", ".</p></article>")) == body
+    assert html_text.main_text(f"<div><div>\n<div><p>{body}</p></div></div>\n</div><div><div>\n<div><p>End.</p></div></div></div>") == body + " End."
+
+
 def test_html_frame(spark):
     rows = [(1, "u", "<p>a</p>", "clash"), (1, "u", "<p>a</p>", "clash"), (2, None, None, None), (None, "v", "<p>" + "b " * 50_000 + "</p>", None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
