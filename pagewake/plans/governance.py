@@ -77,8 +77,8 @@ def link_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT page_id AS child, page_id AS parent FROM pages WHERE page_id % 50 = 0")
 def lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree, with loops on some nodes whose parents are gone: only the loops are left."""
-    e = _edges(spark, sf_dir).select(F.col("to").alias("child"), F.col("from").alias("parent")).where("parent % 50 <> 0 AND child % 50 <> 0 AND parent < 10 AND child < 20")
+    """All links of the page graph but those of every fiftieth page, which has a loop instead: only the loops are left."""
+    e = _edges(spark, sf_dir).select(F.col("to").alias("child"), F.col("from").alias("parent")).where("parent % 50 <> 0 AND child % 50 <> 0")
     loops = table(spark, sf_dir, "pages").where("page_id % 50 = 0").select(F.col("page_id").alias("child"), F.col("page_id").alias("parent"))
     return graph.cyclic(e.unionByName(loops))
 

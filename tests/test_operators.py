@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagewake.operators import acquisition, changes, governance, graph, planning, review, sections, state, summary
+from pagewake.plans import registry
 from pagewake.streaming import changes as streams
 
 
@@ -97,3 +98,13 @@ def test_streaming_counts(spark, sf, tmp_path):
     seen = []
     q = streams.incremental(stream, lambda batch, number: seen.append((number, batch.count())), str(tmp_path / "ck2"))
     assert q.awaitTermination(120) and seen == [(0, 1000)]
+
+
+def test_lineage_takes_all_pages(spark, sf, monkeypatch):
+    given = []
+    peel = graph.cyclic
+    monkeypatch.setattr(graph, "cyclic", lambda edges: given.append(edges) or peel(edges))
+    left = rows(registry.queries()["lineage_cycles"](spark, sf))
+    pages = {r.page_id for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert {r.parent for r in given[0].collect()} == pages
+    assert left == sorted([(p, p) for p in pages if p % 50 == 0], key=repr)
