@@ -14,7 +14,8 @@ be rewritten. A frequent chunk is reduced before the shuffle when it is counted;
 compared, AQE may split its partition, as its first occurrence is a single row.
 
 Null texts stay null. A document that is removed wholly keeps its row, with an empty text. Rows of
-one key count as one document; rows with a null key are returned as they are. All columns
+one key and text count as one document, other texts of the key (told by digest, in its order) as
+others; rows with a null key are returned as they are. All columns
 are returned, in order; n_chars, where it is a column, is that of the new text.
 """
 
@@ -81,21 +82,21 @@ def counts(chunk: Column) -> Column:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without repeated chunks."""
     shared_folder(docs.sparkSession)
-    base = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("body"))
+    base = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("d"), F.col(text).alias("body"))
     hashed = F.transform(F.filter(chunks(F.col("body")), counts), lambda c: F.struct(F.xxhash64(c["body"]).alias("h"), c["place"].alias("place")))
-    every = base.withColumn("hashed", hashed).select("id", F.explode("hashed").alias("c")).select("id", "c.*").checkpoint()
-    firsts = every.groupBy("h").agg(F.min(F.struct("id", "place")).alias("first"), F.max(F.struct("id", "place")).alias("last")).where("first <> last").select("h", "first")
-    repeated = every.join(firsts, "h").groupBy("id").agg(F.collect_set(F.struct("place", "h", (F.struct("id", "place") == F.col("first")).alias("is_first"))).alias("found"))
+    every = base.withColumn("hashed", hashed).select("id", "d", F.explode("hashed").alias("c")).select("id", "d", "c.*").checkpoint()
+    firsts = every.groupBy("h").agg(F.min(F.struct("id", "d", "place")).alias("first"), F.max(F.struct("id", "d", "place")).alias("last")).where("first <> last").select("h", "first")
+    repeated = every.join(firsts, "h").groupBy("id", "d").agg(F.collect_set(F.struct("place", "h", (F.struct("id", "d", "place") == F.col("first")).alias("is_first"))).alias("found"))
 
-    holders = base.join(repeated.hint("shuffle_hash"), "id")
+    holders = base.join(repeated.hint("shuffle_hash"), ["id", "d"])
     named = let(chunks(F.col("body")), lambda cut: F.transform("found", lambda f: F.struct(f["h"].alias("h"), f["is_first"].alias("is_first"), F.get(cut, f["place"]).alias("c"))))
-    pieces = holders.withColumn("named", named).select("id", F.explode("named").alias("p"))
-    pieces = pieces.select("id", "p.h", "p.is_first", "p.c.first", "p.c.lines", "p.c.body").where(F.xxhash64("body") == F.col("h"))
+    pieces = holders.withColumn("named", named).select("id", "d", F.explode("named").alias("p"))
+    pieces = pieces.select("id", "d", "p.h", "p.is_first", "p.c.first", "p.c.lines", "p.c.body").where(F.xxhash64("body") == F.col("h"))
     kept = pieces.where("is_first").select("h", F.col("body").alias("bytes")).dropDuplicates(["h"])
     gone = pieces.where("NOT is_first").join(kept, "h").where(F.col("body").cast("binary") == F.col("bytes").cast("binary"))
-    removed = gone.groupBy("id").agg(F.collect_set(F.struct("first", "lines")).alias("removed")).withColumnRenamed("id", "removed_id")
+    removed = gone.groupBy(F.col("id").alias("removed_id"), F.col("d").alias("removed_d")).agg(F.collect_set(F.struct("first", "lines")).alias("removed"))
 
-    joined = docs.join(removed.hint("shuffle_hash"), F.col(key) == F.col("removed_id"), "left")
+    joined = docs.join(removed.hint("shuffle_hash"), (F.col(key) == F.col("removed_id")) & (F.xxhash64(text) == F.col("removed_d")), "left")
     lost = F.flatten(F.transform("removed", lambda r: F.sequence(r["first"], r["first"] + r["lines"] - 1)))
     left = let(lost, lambda gone: F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i + 1)))
     rewritten = joined.withColumn("lost", lost).withColumn("text_left", F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))

@@ -59,6 +59,14 @@ def test_repeated_rows_of_a_key_are_one_document(spark):
     assert line_dedup.dedup(docs(spark, []).drop("n_removed")).count() == 0
 
 
+def test_other_texts_of_a_key_keep_their_lines(spark):
+    passage, other = text(60), "\n".join(text(9) for _ in range(6))
+    rows = [(1, f"{text(9)}\n{passage}"), (2, f"{text(8)}\n{passage}\n{text(7)}"), (2, other), (2, other)]
+    got = line_dedup.dedup(docs(spark, rows).drop("n_removed")).collect()
+    want = [(1, rows[0][1], 0), (2, rows[1][1].replace(passage + "\n", ""), 1), (2, other, 0), (2, other, 0)]
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == sorted(want)
+
+
 # ---- secrets ----
 
 
