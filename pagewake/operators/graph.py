@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewake.sources.folders import shared_folder
+
 
 def _checkpointed(rows: DataFrame) -> DataFrame:
-    sc = rows.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 

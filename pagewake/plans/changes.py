@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagewake.operators import changes, state
 from pagewake.plans.registry import register
 from pagewake.sources import views
+from pagewake.sources.folders import shared_folder
 from pagewake.streaming import changes as streaming
 
 _BETWEEN = f"""{views.SNAPSHOTS}, a AS (SELECT site, page_id, content_hash FROM snapshots WHERE run_id = 1), b AS (SELECT site, page_id, content_hash FROM snapshots WHERE run_id = 2),
@@ -114,7 +115,7 @@ def change_log_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT ts::DATE::TIMESTAMP AS start, event_type AS change_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of the log read as a stream; each micro-batch rewrites the counts in the shared folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema("ts timestamp_ntz, event_type string").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = streaming.windowed_counts(source.select(F.col("ts").alias("detected_at"), F.col("event_type").alias("change_type")))
     query = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
