@@ -7,8 +7,9 @@ Decoding concatenates the vocabulary's byte strings.
 A token never runs across a step from a visible character to white space, so a text is cut
 there first; pre-tokens recur, and a bounded per-worker table keeps their encodings.
 
-Null text counts as empty: no tokens, the digests of the empty string. Rows are independent,
-so ties, repeated rows and long texts need no special care; extra columns are not carried.
+Null text counts as empty: no tokens, the digests of the empty string. Rows are independent, so
+repeated rows are encoded alike, and an empty table gives an empty one; of equal ranks in a text the
+leftmost pair is merged first. A text is encoded whole, however long. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Entries of the token table of a worker, some 200 bytes each; it starts anew when full.
-TOKENS = 1_000_000
+TOKENS = 250_000
 #: Where a queue entry holds the position.
 POSITION = (1 << 32) - 1
 MARKS = (".", ",", ";", ":", "!", "?")
@@ -56,41 +59,45 @@ class Tokenizer:
         model = json.loads(spec)
         vocab, self.added = model["model"]["vocab"], {t["content"]: t["id"] for t in model["added_tokens"]}
         to_byte = byte_symbols()
-        self.strings = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items() if all(c in to_byte for c in s)}
-        self.strings |= {i: s.encode() for s, i in self.added.items()}
-        self.first = [0] * 256
-        for c, b in to_byte.items():
-            self.first[b] = vocab[c]
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"])
-        self.merges = {(vocab[a] << 20) | vocab[b]: (rank << 32, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        strings = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items() if all(c in to_byte for c in s)}
+        strings |= {i: s.encode() for s, i in self.added.items()}
+        self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
+        self.decimal = [str(i) for i in range(len(self.strings))]
+        first = {b: vocab[c] for c, b in to_byte.items()}
+        self.first = [first[b] for b in range(256)]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+        self.made = [vocab[a + b] for a, b in pairs]
+        self.ranks = {(vocab[a] << 20) | vocab[b]: rank << 32 for rank, (a, b) in enumerate(pairs)}
+        self.byte_ranks = {(a, b): r for a, x in first.items() for b, y in first.items() if (r := self.ranks.get((x << 20) | y)) is not None}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.decimal = {i: str(i) for i in self.strings}
         self.tokens: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token. A queue entry is its rank, shifted, with the left position below."""
-        ids, get = [self.first[b] for b in data], self.merges.get
-        n = len(ids)
-        if n < 2:
-            return ids
-        queue = [found[0] | i for i in range(n - 1) if (found := get((ids[i] << 20) | ids[i + 1]))]
+        n = len(data)
+        live = list(map(self.byte_ranks.get, zip(data, data[1:], strict=False)))  # by left position, the rank of the pair that stands there
+        queue = [rank | i for i, rank in enumerate(live) if rank is not None]
+        live.append(None)
         heapq.heapify(queue)
+        ids, get = [self.first[b] for b in data], self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n))
         while queue:
             top = heapq.heappop(queue)
             i = top & POSITION
-            a, j = ids[i], after[i]
-            found = get((a << 20) | ids[j]) if a >= 0 and j < n else None
-            if found is None or found[0] | i != top:
+            if live[i] != (rank := top - i):
                 continue  # stale: another pair stands here by now
-            ids[i], ids[j] = found[1], -1
-            a = found[1]
+            j, a = after[i], self.made[rank >> 32]
+            ids[i], ids[j] = a, -1
+            live[j] = None
             after[i] = k = after[j]
             before[k] = i
-            if k < n and (found := get((a << 20) | ids[k])):
-                heapq.heappush(queue, found[0] | i)
-            if (h := before[i]) >= 0 and (found := get((ids[h] << 20) | a)):
-                heapq.heappush(queue, found[0] | h)
+            live[i] = rank = get((a << 20) | ids[k]) if k < n else None
+            if rank is not None:
+                heapq.heappush(queue, rank | i)
+            if (h := before[i]) >= 0:
+                live[h] = rank = get((ids[h] << 20) | a)
+                if rank is not None:
+                    heapq.heappush(queue, rank | h)
         return [x for x in ids if x >= 0]
 
     def token(self, text: str) -> bytes:
@@ -132,8 +139,7 @@ class Tokenizer:
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        strings = self.strings
-        return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -148,34 +154,35 @@ def loaded(spec: str) -> Tokenizer:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """A row for each document: key, n_tokens, ids_sha256, decoded_sha256 and, if asked, token_ids and decoded.
 
     `tokenizer_file` is read on the driver (about 1.5 MB, its size doesn't depend on the data)
-    and broadcast. One pass, no shuffle.
+    and broadcast. One pass, no shuffle; a worker holds a few MB of texts and ids at a time.
     """
     spec = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text())
     kind = docs.schema[key].dataType.simpleString()
+    kinds = {key: None, "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    kinds |= {"token_ids": pa.list_(pa.int32())} if with_ids else {}
+    kinds |= {"decoded": pa.string()} if with_ids and with_decoded else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = loaded(spec.value)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids", "decoded")}
             for value in batch.column(1):
                 ids = t.encode(value.as_py() or "")
                 each = ids.tolist()
                 plain = t.decode(each)
                 out["n_tokens"].append(len(each))
-                out["ids_sha256"].append(hashlib.sha256(",".join([t.decimal[i] for i in each]).encode()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(",".join(map(t.decimal.__getitem__, each)).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(plain.encode()).hexdigest())
-                if with_ids:
+                if "token_ids" in kinds:
                     out["token_ids"].append(ids)
+                if "decoded" in kinds:
                     out["decoded"].append(plain)
-            columns = [batch.column(0), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
-            if with_ids:
-                columns += [pa.array(out["token_ids"], pa.list_(pa.int32())), pa.array(out["decoded"], pa.string())]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids", "decoded"] * with_ids]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[k], kinds[k]) for k in list(kinds)[1:]]], list(kinds))
 
-    schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded string" * with_ids
+    schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema += ", token_ids array<int>" * ("token_ids" in kinds) + ", decoded string" * ("decoded" in kinds)
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
