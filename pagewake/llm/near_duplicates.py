@@ -6,14 +6,17 @@ bins borrow from bins picked by a fixed random sequence (optimal densification).
 give buckets. A bucket's candidates are a star, all members against one centre, so its pairs
 number one less than its members. Candidates are confirmed on the full sets.
 
-Stars alone could miss a link between two members that are both unlike the centre. So buckets
-that still hold several components are worked on: small ones compare the members of different
-components, the members of large ones are compared where their rarest shingles (an exact prefix
-filter) allow the similarity. No bucket is capped or dropped.
+Stars alone could miss a link between two members that are both unlike the centre. So the members of
+buckets that still hold several components are compared, across components, where their rarest
+shingles (an exact prefix filter), their sizes and their bitmaps allow the similarity. Of each rare
+shingle, the members outside its largest component meet the others, so that a large group of copies
+is never compared with itself. No bucket is capped or dropped.
 
 Null or wordless texts have an empty set and are linked with nothing. Rows with a null key are
-not linked: component_id is null and kept is true. Repeated rows are copies of each other; of
-rows with one key, all are `kept` or none. Extra columns are not carried.
+not linked: component_id is null and kept is true. Repeated rows are copies of each other, and
+different texts of one key are documents of their own; of rows with one key and text, all are
+`kept` or none. Long texts are read whole, and an empty table gives an empty one. Extra columns are
+not carried.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, words
+from .common import pieces, shared_folder, words
 from .components import components
 
 #: A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**ROWS)**BANDS = 2e-5.
@@ -34,9 +37,6 @@ BANDS, ROWS = 36, 6
 BINS = BANDS * ROWS
 #: Bits of the parity bitmap. Two sets differ in at least as many shingles as their bitmaps in bits.
 PARITY = 1024
-#: A bucket of several components and at most so many members compares them in pairs.
-SMALL = 48
-
 #: Words whose hashes a worker keeps.
 KNOWN_WORDS = 50_000
 
@@ -113,108 +113,112 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)]).astype(np.int64, copy=False)))
 
 
-def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """id, n, digest of the set (null if empty), band numbers and parity bitmap of each row."""
+def digest(found: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """id, t, n, digest of the set (null if empty), band numbers and parity bitmap of each row of (id, t, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py(), size) for t in batch.column(1)]
-            digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        for batch in pieces(batches, 2):
+            sets = [shingles(t.as_py(), size) for t in batch.column(2)]
             n = pa.array([len(s) for s in sets], pa.int64())
             found = lists([bands(s) if len(s) else np.empty(0, np.int64) for s in sets])
             bits = lists([parities(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(digest, pa.binary()), found, bits], ["id", "n", "digest", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(map(digest, sets), pa.binary()), found, bits], ["id", "t", "n", "digest", "bands", "bits"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n bigint, digest binary, bands array<bigint>, bits array<bigint>")
+    return docs.select("id", "t", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, t bigint, n bigint, digest binary, bands array<bigint>, bits array<bigint>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """id and shingle hashes of each row of (id, text)."""
+    """digest and shingle hashes of each row of (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists([shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)])], ["id", "shingles"])
+        for batch in pieces(batches, 0):
+            sets = [shingles(t.as_py(), size) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), lists([s.view(np.int64) for s in sets])], ["digest", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<bigint>")
+    return docs.select("text").mapInArrow(run, "digest binary, shingles array<bigint>")
 
 
-def stars(buckets: DataFrame) -> DataFrame:
+def stars(buckets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b): the members of each bucket with its centre, the member of least hash.
 
     The hash is the same in all buckets, so that similar buckets have the same centre and pairs recur.
     """
-    rank = F.struct(F.xxhash64("id").alias("h"), "id", "n", "bits")
+    rank = F.struct(F.xxhash64("v").alias("h"), "v", "n", "bits")
     centres = buckets.groupBy("bucket").agg(F.min(rank).alias("c"))
-    return buckets.join(centres, "bucket").select(F.col("c.id").alias("a"), F.col("c.n").alias("an"), F.col("c.bits").alias("abits"), F.col("id").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits"))
-
-
-def pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of different components, of small buckets."""
-    left, right = (buckets.select("bucket", *[F.col(c).alias(f"{side}{name}") for c, name in (("id", ""), ("n", "n"), ("bits", "bits"), ("label", "l"))]) for side in "ab")
-    return left.join(right, "bucket").where("a < b AND al <> bl").select("a", "an", "abits", "b", "bn", "bbits")
+    star = buckets.join(centres, "bucket").select(F.col("c.v").alias("a"), F.col("c.n").alias("an"), F.col("c.bits").alias("abits"), F.col("v").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bbits"))
+    return star.where(F.col("a") != F.col("b")).where(plausible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of different components, of large buckets, that can have the similarity.
+def rare_pairs(members: DataFrame, sets: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (v, n, label) of different components that can have the similarity.
 
     Shingles are ranked by rarity among the members. Two sets that are similar enough have their
     first common shingle early in both, with enough places left behind it to make up the overlap.
     Members that owe their bucket to a frequent passage are told apart by their rare shingles.
     """
-    each = members.select("id", "n", "label").distinct().join(sets.dropDuplicates(["id"]), "id").select("id", "n", "label", F.explode("shingles").alias("h"))
-    ranked = each.join(each.groupBy("h").count(), "h").groupBy("id", "n", "label").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("all"))
+    each = members.join(sets, "v").select("v", "n", "label", F.explode("shingles").alias("h"))
+    ranked = each.join(each.groupBy("h").count(), "h").groupBy("v", "n", "label").agg(F.array_sort(F.collect_list(F.struct("count", "h"))).alias("all"))
     early = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    posted = ranked.select("id", "n", "label", F.posexplode(early).alias("at", "s")).select("id", "n", "label", "at", "s.h").checkpoint()
-    shared = posted.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    left = posted.join(shared, "h").select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("label").alias("la"), F.col("at").alias("ia"))
-    right = posted.select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("lb"), F.col("at").alias("ib"))
-    room = F.least(F.col("an") - F.col("ia"), F.col("bn") - F.col("ib")) * (100 + percent) >= (F.col("an") + F.col("bn")) * percent
-    found = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & room).select("a", "an", "b", "bn").distinct()
-    bits = members.select("id", "bits").dropDuplicates(["id"])
-    return found.join(bits.toDF("a", "abits"), "a").join(bits.toDF("b", "bbits"), "b").select("a", "an", "abits", "b", "bn", "bbits")
-
-
-def plausible(found: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a < b that can have the similarity, by their sizes and bitmaps."""
+    posted = ranked.select("v", "n", "label", F.posexplode(early).alias("at", "s")).select("v", "n", "label", "at", "s.h").checkpoint()
+    of_label = posted.groupBy("h", "label").count()
+    shared = of_label.groupBy("h").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("largest")).where("labels > 1").select("h", "largest")
+    meeting = posted.join(shared, "h").join(bits, "v").checkpoint()
+    left, right = (meeting.select("h", "largest", *[F.col(c).alias(f"{side}{name}") for c, name in (("v", ""), ("n", "n"), ("label", "l"), ("at", "i"), ("bits", "bits"))]) for side in "ab")
+    once = (F.col("bl") == F.col("largest")) | (F.col("a") < F.col("b"))
+    room = F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) * (100 + percent) >= (F.col("an") + F.col("bn")) * percent
+    found = left.where("al <> largest").join(right.drop("largest"), "h").where((F.col("al") != F.col("bl")) & once & room & plausible(percent))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def plausible(percent: int) -> Column:
+    """Whether a pair can have the similarity, by the sizes and bitmaps."""
     apart = F.aggregate(F.zip_with("abits", "bbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda out, x: out + x)
     both = F.col("an") + F.col("bn")
-    common = F.least(F.floor((both - apart) / 2), "an", "bn")
-    return found.where((F.col("a") != F.col("b")) & ((100 + percent) * common >= percent * both)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = F.least("an", "bn") * (100 + percent) >= both * percent
+    return sizes & ((100 + percent) * F.floor((both - apart) / 2) >= percent * both)
 
 
 def confirmed(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have the similarity."""
-    have_b = found.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = have_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    have_b = found.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = have_b.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """key, n_shingles, component_id (least key reachable by links of `percent` or more) and kept, for each row."""
+    """key, n_shingles, component_id (least key reachable by links of `percent` or more), kept and text_hash, for each row."""
     shared_folder(docs.sparkSession)
-    rows = sketches(docs, key, text, size).checkpoint()
-    classes = rows.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = rows.join(classes, "digest").where("id = rep").select("id", "n", "bands", "bits").dropDuplicates(["id"])
-    posted = reps.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket")).repartition("bucket")
+    docs = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    rows = sketches(docs, size).checkpoint()
+    classes = rows.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least")).checkpoint()
+    classes = classes.withColumn("v", F.monotonically_increasing_id())  # of a checkpoint, which doesn't change
+    reps = rows.join(classes, "digest").where("id = least").dropDuplicates(["v"]).select("v", "least", "n", "bands", "bits")
+    posted = reps.select("v", F.posexplode("bands").alias("band", "value")).select("v", F.xxhash64("band", "value").alias("bucket")).repartition("bucket")
     crowded = posted.groupBy("bucket").count().where("count > 1").select("bucket")
-    buckets = posted.join(crowded, "bucket").join(reps.select("id", "n", "bits"), "id").checkpoint()
+    buckets = posted.join(crowded, "bucket").join(reps.select("v", "n", "bits"), "v").checkpoint()
 
-    members = buckets.select(F.col("id").alias(key)).distinct()
-    texts = docs.select(F.col(key), F.col(text).alias("text")).join(members.hint("shuffle_hash"), key, "left_semi").select(F.col(key).alias("id"), "text")
-    sets = full_sets(texts, size).checkpoint()
+    members = buckets.select("v").distinct().join(classes, "v")
+    texts = docs.join(members.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
+    sets = full_sets(texts, size).join(members.select("digest", "v"), "digest").dropDuplicates(["v"]).select("v", "shingles").checkpoint()
 
-    tested = plausible(stars(buckets), percent).checkpoint()
+    tested = stars(buckets, percent).checkpoint()
     links = confirmed(tested, sets, percent).checkpoint()
     labels = components(links)
-    named = buckets.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    several = named.groupBy("bucket").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "members")
-    undecided = named.join(several, "bucket").checkpoint()
-    found = plausible(pairs(undecided.where(F.col("members") <= SMALL)).unionByName(rare_pairs(undecided.where(F.col("members") > SMALL), sets, percent)), percent)
+    named = buckets.select("bucket", "v", "n").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    undecided = named.join(several, "bucket").select("v", "n", "label").distinct().checkpoint()
+    found = rare_pairs(undecided, sets, reps.select("v", "bits"), percent)
     more = confirmed(found.join(tested, ["a", "b"], "left_anti"), sets, percent).checkpoint()
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
-    named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
-    out = rows.join(named, "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("label", "id")))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = classes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_class = named.join(least, "label").select("digest", "component_id")
+    out = rows.select("id", "t", "n", "digest").join(of_class, "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("t").alias("text_hash"))

@@ -67,7 +67,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity 0.8."""
-    return near_duplicates.find(table(spark, sf_dir, "documents"), size=2, percent=80)
+    return near_duplicates.find(table(spark, sf_dir, "documents"), size=2, percent=80).drop("text_hash")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
