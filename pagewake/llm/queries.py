@@ -144,28 +144,26 @@ FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id
 """
 
 _OP8 = """
-WITH split AS (
-  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
-), line AS (
-  SELECT doc_id, unnest(generate_series(1, len(lines))) AS i, unnest(lines) AS line FROM split
-), told AS (
-  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) + 1 >= 50 AS long FROM line
+WITH line AS (
+  SELECT doc_id, unnest(generate_series(0, len(lines) - 1)) AS i, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+), counted AS (
+  SELECT *, count(*) OVER (PARTITION BY line) AS n, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) + 1 AS w FROM line WHERE trim(line) <> ''
 ), ended AS (
-  SELECT *, CASE WHEN long OR coalesce(lead(long) OVER w, true) OR (i >= 2 AND (h + 31 * lag(h) OVER w) % 3 = 0) THEN 1 ELSE 0 END AS cut
-  FROM told WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, CASE WHEN coalesce(lead(i) OVER v = i + 1 AND lead(n) OVER v = n, false) AND NOT coalesce(lag(i) OVER v = i - 1 AND lag(n) OVER v = n AND (h % 3 + 31 * (lag(h) OVER v % 3)) % 3 = 0, false) THEN 0 ELSE 1 END AS cut
+  FROM counted WHERE n > 1 WINDOW v AS (PARTITION BY doc_id ORDER BY i)
 ), placed AS (
   SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM ended
 ), chunk AS (
-  SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM placed GROUP BY doc_id, place
-), counted AS (
-  SELECT *, length(body) - length(replace(replace(body, chr(10), ' '), ' ', '')) + 1 AS words FROM chunk
+  SELECT doc_id, min(i) AS first, count(*) AS lines, sum(w) AS words, string_agg(line, chr(10) ORDER BY i) AS body FROM placed GROUP BY doc_id, place
+), again AS (
+  SELECT *, first + lines - sum(lines) OVER (PARTITION BY doc_id ORDER BY first) AS island FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS nth FROM chunk) WHERE nth > 1
 ), gone AS (
-  SELECT doc_id, place FROM (
-    SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, place) AS nth FROM counted WHERE (n > 1 AND words >= 20) OR words >= 50
-  ) WHERE nth > 1
+  SELECT doc_id, unnest(generate_series(first, first + lines - 1)) AS i FROM (
+    SELECT *, sum(lines) OVER r AS run_lines, sum(words) OVER r AS run_words FROM again WINDOW r AS (PARTITION BY doc_id, island)
+  ) WHERE run_words >= 50 OR (run_lines > 1 AND run_words >= 20)
 ), remade AS (
-  SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.i) FILTER (g.place IS NULL) AS text, count(g.place) AS n_removed
-  FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.place = p.place GROUP BY p.doc_id
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text, count(g.i) AS n_removed
+  FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
 )
 SELECT d.doc_id, CASE WHEN r.doc_id IS NULL THEN d.text ELSE coalesce(r.text, '') END AS text, coalesce(r.n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN remade r ON r.doc_id = d.doc_id
