@@ -5,36 +5,39 @@ frequencies. One-versus-rest linear support vector machines choose a language fa
 it, one-versus-one machines separate the languages. Families are found from the training rows,
 by joining the languages whose mean features are closest.
 
-The model is fitted on a bounded sample (`sample_rows`, split evenly over the languages, drawn by
-a hash of the key) of the rows that `train_if` admits; its features are computed by the
-executors and only they reach the driver. Prediction reads every whole text once, without a
-shuffle.
-
-Null texts and texts without a letter are `und` with score 0. Without training rows all are
-`und`. Repeated rows are predicted alike; extra columns are not carried.
+The model is fitted on a bounded sample of the rows that `train_if` admits: about `sample_rows`
+distinct ones, split evenly over the languages and drawn by a hash of key and text. Their features
+are computed by the executors and only they reach the driver. Prediction reads every whole text once,
+without a shuffle.
+
+Null texts and texts without a letter are `und` with score 0. Without training rows all are `und`.
+Votes that tie go to the larger sum of margins, then to the first language by name. Repeated rows are
+predicted alike and learned from once; an empty table gives an empty one; extra columns are not carried.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the model is fitted on, over all languages.
+from .common import pieces
+
+#: Labelled rows that the model is fitted on, about, over all languages.
 SAMPLE_ROWS = 3000
 #: Buckets of hashed n-grams of these orders.
 BUCKETS = 4096
 ORDERS = (2, 3, 4)
 UNDETERMINED = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 LETTERS = bytes(b if b >= 0x80 or chr(b).islower() else 0x20 for b in range(256))
 
 
@@ -126,22 +129,29 @@ def fit(x: np.ndarray, labels: list[str], count: int | None = None) -> Model:
     return Model(languages, groups, pairs, np.array([m[0] for m in machines]), np.array([m[1] for m in machines]))
 
 
+def share(rows: int, wanted: float) -> float:
+    """Share of a language's rows that gives `wanted` of them; above 0 however many rows there are."""
+    return min(1.0, wanted / max(1, rows))
+
+
 def train(docs: DataFrame, train_if: Column, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """The model of a bounded sample of the admitted, labelled rows; None if there are none."""
-    rows = docs.where(train_if & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("h"), F.col(text).alias("body"))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a row for each language
+    fine = train_if & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")
+    rows = docs.where(fine).select(F.col(label).cast("string").alias("label"), F.xxhash64(key, text).alias("h"), F.col(text).alias("body"))
+    distinct = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))
+    sizes = {r["label"]: r["n"] for r in distinct.collect()}  # a row for each language
     if not sizes:
         return None
-    each = sample_rows / len(sizes)
-    share = F.create_map(*[F.lit(v) for label_, n in sizes.items() for v in (label_, int(min(1.0, each / n) * 1_000_000))])
+    below = F.create_map(*[F.lit(v) for label_, n in sizes.items() for v in (label_, share(n, sample_rows / len(sizes)) * 2.0**63)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             found = [features(t.as_py()).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["label", "h", "x"])
 
-    sample = rows.where((F.pmod("h", F.lit(1_000_000)) < share[F.col("label")]) & F.col("body").rlike(r"\p{L}"))
-    got = sorted(map(tuple, sample.mapInArrow(run, "label string, h bigint, x binary").limit(2 * sample_rows).collect()))
+    drawn = F.col("h").bitwiseAND(F.lit((1 << 63) - 1)).cast("double") <= below[F.col("label")]
+    sample = rows.where(drawn).groupBy("label", "h").agg(F.first("body").alias("body"))
+    got = sorted(map(tuple, sample.mapInArrow(run, "label string, h bigint, x binary").collect()))
     return fit(np.array([np.frombuffer(x, np.float32) for _, _, x in got]), [v for v, _, _ in got]) if got else None
 
 
@@ -151,7 +161,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             out = [held.value.predict(features(t)) if held.value and (t := v.as_py()) and LETTER.search(t) else (UNDETERMINED, 0.0) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [key, "lang_pred", "score"])
 
@@ -159,13 +169,17 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
 
 
 def determined(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows whose language can be told, with all their columns; one pass, no shuffle."""
+    """The rows whose language can be told, with all their columns; one pass, no shuffle.
+
+    Without a model, those whose text has a letter.
+    """
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
+    def tells(text_: str | None) -> bool:
+        return bool(text_ and LETTER.search(text_)) and (held.value is None or held.value.predict(features(text_))[0] != UNDETERMINED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = (v.as_py() for v in batch.column(at))
-            keep = [bool(t and held.value and LETTER.search(t)) and held.value.predict(features(t))[0] != UNDETERMINED for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch in pieces(batches, at):
+            yield batch.filter(pa.array([tells(v.as_py()) for v in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,7 +1,9 @@
 """Operators that read each row by itself: language, HTML, BPE, URLs, decontamination."""
 
 import hashlib
+import math
 import zlib
+from collections import Counter
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -87,6 +89,52 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.predict(train, one).collect()} == {"en"}
 
 
+def test_language_prediction_is_a_plain_recomputation_s(spark):
+    """Features by counting n-grams one by one, machines and votes by loops over all weights."""
+    train = docs(spark, [(i, f"{t} {i}", lang) for i, (t, lang) in enumerate([("the of and the house", "en"), ("der die das und haus", "de"), ("le la les et maison", "fr"), ("el la los y casa", "es"), ("il lo gli e casa", "it")] * 8)])
+    model = language_id.train(train, F.lit(True))
+    texts = ["the and", "DIE UND", "et la maison", "y los", "é", "gli 12 e lo", "x" * 30_000, "the la die e y", "the la die e y"]
+
+    def plain(text):
+        data, grams = [], Counter()
+        for b in b" " + text.lower().encode() + b" ":
+            c = b if b >= 0x80 or 97 <= b <= 122 else 32
+            if not (c == 32 and data and data[-1] == 32):
+                data.append(c)
+        for n in language_id.ORDERS:
+            for i in range(len(data) - n + 1):
+                h = 0
+                for c in data[i : i + n]:
+                    h = (h * 257 + c) % 2**32
+                grams[h * 2654435761 % 2**32 >> 20] += 1
+        total = sum(grams.values())
+        x = {k: math.sqrt(v / total) for k, v in grams.items()}
+        margin = [b + sum(w[k] * v for k, v in x.items()) for w, b in zip(model.weights, model.bias, strict=True)]
+        best = max(range(len(model.groups)), key=lambda g: (margin[g], -g))
+        votes, sums = Counter(), Counter()
+        for (a, b), m in zip(model.pairs, margin[len(model.groups) :], strict=True):
+            votes[a if m >= 0 else b] += 1
+            sums[a] += m
+            sums[b] -= m
+        return model.languages[max(model.groups[best], key=lambda i: (votes[i], sums[i], -i))]
+
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs(spark, [(i, t, None) for i, t in enumerate(texts)]), model).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert {plain(t) for t in texts} > {"en", "de"}
+
+
+def test_language_sample(spark):
+    assert language_id.share(10**10, 750) > 0 and language_id.share(3, 750) == 1
+    one = spark.range(3000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("the house").alias("text"), F.lit("en").alias("lang"))  # a hot key
+    rows = one.unionByName(docs(spark, [(2, "das haus", "de"), (3, "½ ² ①", "de"), (4, None, "de")]).select("doc_id", "text", "lang"))
+    model = language_id.train(rows, F.lit(True), sample_rows=20)
+    assert model.languages == ["de", "en"]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(rows, model).collect()}
+    assert got == {1: "en", 2: "de", 3: "und", 4: "und"}
+    assert {r.doc_id for r in language_id.determined(rows, None).collect()} == {1, 2}
+    assert language_id.predict(rows.where("false"), model).count() == language_id.determined(rows.where("false"), model).count() == 0
+
+
 def test_url_rules_and_list(spark):
     pages = spark.createDataFrame(
         [(1, "http://A.example.org/es/x?q", "c"), (2, "https://example.org/en/12", "c"), (3, "http://x.org/p", "c"), (4, "http://myorg/p", "c"), (5, "http://www.listed.net/a/", "c"), (6, "http://m.listed.net/a#f", "c"), (7, "http://other.net/a", "c"), (8, None, "c"), (9, "no url", "c"), (10, "http://b.com/de/1", "c"), (10, "http://b.com/de/1", "c")],
