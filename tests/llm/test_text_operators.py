@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -178,6 +179,21 @@ def test_decontamination_is_brute_force_s(spark):
     assert not any(r.contaminated for r in decontaminate.search(docs(spark, [(1, "a", None)]), bench.where("false")).collect())
 
 
+def test_decontamination_tables_are_small(spark):
+    """Items with one ending, a hot passage, a very long text; and the memory of the tables."""
+    ending = " ".join(f"e{i}" for i in range(9))
+    items = [(str(i), f"w{i} {ending}") for i in range(20_000)]
+    tracemalloc.start()
+    tables = decontaminate.Tables(items, 10)
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size < 20 * sum(len(t) for _, t in items)
+    text = f"w7 {ending} and w19999 {ending} " * 3000
+    found = list(tables.search(decontaminate.words(text)))
+    assert len(found) == 6000 and {tables.names[i] for _, _, of in found for i in of} == {"7", "19999"}
+    assert decontaminate.search(docs(spark, []), spark.createDataFrame(items, "item_id string, text string")).count() == 0
+
+
 def test_decontamination_query(spark, sf):
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     windows = {}
