@@ -16,21 +16,24 @@ Positions come from splitting a text at the matches: the lengths of gaps and mat
 code-point offsets. Spans are checkpointed without the texts, so that each text is scanned once.
 
 Null texts count as empty: no spans, the digest of the empty string. Documents are told apart by
-key and text: repeated rows get equal results, rows with a null key too. Extra columns are not
-carried.
+key and text: repeated rows get equal results, rows with a null key too, and an empty table gives an
+empty one. Spans of one start are listed by kind. A text is read whole, in time nearly linear in its
+matches. Extra columns are not carried.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder
 
 #: Code points within which parts belong together.
 SCOPE = 400
+#: Matches that are added up together.
+BLOCK = 64
 
 # The kinds in order, and the forms of secrets.
 KINDS = ("assign", "access", "hex", "access_id", "secret", "endpoint")
@@ -51,8 +54,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def running(lengths: Column) -> Column:
-    """Running totals of an array of numbers."""
-    return F.aggregate(lengths, F.array().cast("array<bigint>"), lambda out, x: F.concat(out, F.array(F.coalesce(F.get(out, F.size(out) - 1), F.lit(0)) + x)))
+    """Running totals of an array of numbers: those of whole blocks first, so that long arrays aren't copied again and again."""
+    zero = F.lit(0).cast("bigint")
+    total = lambda x, start: F.aggregate(x, start, lambda out, v: out + v)
+
+    def blocks(each: Column) -> Column:
+        count = F.floor(F.size(each) / BLOCK).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), count), F.array(zero), lambda out, k: F.concat(out, F.array(total(F.slice(each, k * BLOCK + 1, F.lit(BLOCK)), F.get(out, k)))))
+
+    def at(before: Column, each: Column) -> Column:
+        return F.transform(each, lambda x, i: total(F.slice(each, i - i % BLOCK + 1, i % BLOCK + 1), F.get(before, F.floor(i / BLOCK).cast("int"))))
+
+    return let(lengths, lambda each: let(blocks(each), lambda before: at(before, each)))
 
 
 def spans(text: Column, pattern: str, kind: str, counts: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
@@ -72,9 +85,14 @@ def spans(text: Column, pattern: str, kind: str, counts: Callable[[Column], Colu
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array()).cast(SPAN)
 
 
-def apart(weak: Column, strong: Column) -> Column:
-    """The weak spans that overlap no strong one."""
-    return F.filter(weak, lambda w: ~F.exists(strong, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+def apart(parts: DataFrame) -> DataFrame:
+    """The parts without the weak spans that overlap a strong one."""
+    strong = F.col("kind") < KINDS.index("access_id")
+    order = Window.partitionBy("scope").orderBy("start", "kind")
+    ended = F.max(F.when(strong, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = F.min(F.when(strong, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    free = (F.coalesce(F.col("ended"), F.lit(-1)) <= F.col("start")) & (F.coalesce(F.col("begun"), F.col("end")) >= F.col("end"))
+    return parts.withColumn("ended", ended).withColumn("begun", begun).where(strong | free).select("scope", "start", "kind", "end")
 
 
 def written(found: Column) -> Column:
@@ -116,10 +134,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         spans(t, HEX, "hex").alias("hex"),
         F.concat(spans(t, WEAK_ID, "access_id"), spans(t, WEAK_SECRET, "secret", mixed), spans(t, ENDPOINT, "endpoint")).alias("weak"),
     )
-    found = found.withColumn("base", F.concat("assign", "access", "hex")).withColumn("weak", apart(F.col("weak"), F.col("base"))).checkpoint()
+    found = found.withColumn("base", F.concat("assign", "access", "hex")).checkpoint()
 
     parts = found.where(F.size("weak") > 0).dropDuplicates(["scope"]).select("scope", F.explode(F.concat("base", "weak")).alias("s")).select("scope", "s.*")
-    out = found.join(linked(parts), "scope", "left").withColumn("all", F.concat("base", F.coalesce("weak_spans", F.array().cast(SPAN))))
+    out = found.join(linked(apart(parts)), "scope", "left").withColumn("all", F.concat("base", F.coalesce("weak_spans", F.array().cast(SPAN))))
     return out.select(
         key,
         *[F.size(k).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")],

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -110,6 +111,17 @@ def test_weak_spans_need_their_complement(spark):
     assert secrets.scan(docs(spark, rows)).count() == len(rows) and secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_long_dumps_of_secrets(spark):
+    """Positions of thousands of matches, and weak spans among strong ones, against plain regular expressions."""
+    weak, keys = "Ab3" + "xY7z" * 6, [f"AKIA{i:016d}" for i in range(3000)]
+    dump = "é ".join(f"{k} {weak if i % 50 == 0 else 'x'} token={weak}" for i, k in enumerate(keys))
+    (got,) = secrets.scan(docs(spark, [(1, dump)])).collect()
+    want = {(m.start(), kind, m.end()) for kind, p in ((0, secrets.ASSIGN), (1, secrets.ACCESS), (2, secrets.HEX)) for m in re.finditer(p, dump)}
+    free = {(m.start(), 4, m.end()) for m in re.finditer(secrets.WEAK_SECRET, dump) if m[0] == weak and dump[m.start() - 6 : m.start()] != "token="}
+    assert got.spans == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(want | free)) and len(free) == 60
+    assert (got.n_assign, got.n_access, got.n_hex) == (3000, 3000, 3000 if re.search(secrets.HEX, keys[0]) else 0)
+
+
 # ---- near duplicates ----
 
 
