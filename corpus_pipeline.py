@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pagewake.llm import bpe, decontaminate, language_id, line_dedup, near_duplicates
 from pagewake.llm.common import table
 from pagewake.llm.queries import TOKENIZER
+from pagewake.sources.folders import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,7 +46,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, public_tokenizers.path(TOKENIZER)).drop("decoded")
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), with_decoded=False)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -59,7 +60,7 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each result written to the shared folder and read again."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
