@@ -1,129 +1,151 @@
 """Language-model scores by a log-bilinear model trained with noise-contrastive estimation (operator 3).
 
-Symbols are the `SHORTLIST` most frequent training words, the end of a text, and one for all other
-words. The score of a symbol after two others is the product of the sum of their vectors with
-its own, plus its bias; a softmax over all symbols normalises it. A word outside the list has its
-symbol's probability times its share of such words, smoothed as the unigram base is; one
-share is kept for all unseen words, so probabilities of tokens sum to 1.
+Symbols are the most frequent training words, the end of a text, and `CLASSES` classes of all other
+words by their first two bytes, which tell much of a word's language. The number of words with a
+symbol grows as the square root of the training tokens, up to what `MODEL_WORDS` vectors hold. The
+score of a symbol after two others is the product of the sum of their vectors with its own, plus its
+bias. Symbols in byte order are cut into groups; probabilities are normalised exactly by a softmax
+over the groups, whose vectors are trained too, and one over the symbols of a group. A word of a class
+has the class's probability times its share of the class, smoothed as the unigram base is, with
+one share for all unseen words of the class; so probabilities of tokens sum to 1.
 
 Training reads all training texts: words are counted (before the shuffle for each part of the
-input), then the symbol triples. The triples, at most SYMBOLS**3 rows, are dealt out; each task trains
-on its own in numpy, drawing triples by their counts and noise from the symbol frequencies, and
-the parameters are averaged, in `ROUNDS` rounds. The number of steps grows with the triples.
+input), then each task runs once over its texts in numpy, with noise drawn from the symbol
+frequencies, and the parameters are averaged by the tokens that each task has seen. A task gets at
+least `TOKENS_A_PARAMETER` tokens for each parameter, where there are as many.
 
-Scoring reads each text once. Counts of the `FREQUENT` most frequent words (a bounded table) are
-broadcast; other words are joined with the counts, which no word can make uneven, for a frequent one
-is never among them. They are joined by a 64-bit hash of the word.
+Scoring reads each text once, in slices of a few MB. Counts of the `FREQUENT` most frequent words (a
+bounded table) are broadcast; other words are joined with their counts by the word itself. None of
+these is more frequent than the least of the table, so a key has one of `FREQUENT` tokens at most.
 
-Null texts count as empty: one token, the end. Repeated rows are scored alike; without training rows
-all counts are 0 and the symbols equally likely. Extra columns are not carried.
+Null texts count as empty: one token, the end. Repeated rows are scored alike, whatever their keys;
+without training rows all counts are 0 and the symbols nearly equally likely; an empty table gives an
+empty one. Equally frequent words are taken in their own order. Extra columns are not carried.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, words
-
-#: Words with a symbol of their own, and the most whose counts are broadcast.
-SHORTLIST, FREQUENT = 255, 50_000
-#: Symbols: 0 for other words, 1 to SHORTLIST, then the end; START only stands before a text.
-END, START = SHORTLIST + 1, SHORTLIST + 2
-SYMBOLS = SHORTLIST + 3
-DIMENSION, BATCH, NOISE, ROUNDS = 24, 1024, 64, 2
-#: Least steps of a task in a round, and triples for each further step.
-STEPS, TRIPLES_PER_STEP = 150, 200
-#: Triples that make a training task worth its least steps.
-TRIPLES_PER_TASK = 30_000
+from .common import pieces, shared_folder, words
+
+#: Classes of the words without a symbol of their own.
+CLASSES = 256
+#: Most words with a symbol of their own (300 bytes each in the model), and words whose counts are broadcast.
+MODEL_WORDS, FREQUENT = 50_000, 50_000
+DIMENSION, BATCH, NOISE, RATE = 24, 4096, 32, 0.05
+#: Least tokens of a training task, for each parameter and in all.
+TOKENS_A_PARAMETER, TOKENS_A_TASK = 4, 1_000_000
+#: Tokens that are scored together, and parameters of a block when models are averaged.
+SLICE, PARAMETERS = 32_768, 4096
 #: The word that stands for the end of a text in the counts; words are never empty.
 END_WORD = ""
 
 
-class Params:
-    """Vectors of the symbols as first and second context and as prediction, and biases."""
-
-    def __init__(self, flat: np.ndarray):
-        n = SYMBOLS * DIMENSION
-        self.far, self.near, self.out = (flat[i * n : (i + 1) * n].reshape(SYMBOLS, DIMENSION) for i in range(3))
-        self.bias = flat[3 * n :]
-        self.flat = flat
-
-
-def start(frequency: np.ndarray) -> np.ndarray:
-    """Initial parameters: small vectors, and the logarithms of the symbol frequencies as biases."""
-    vectors = np.random.default_rng(3).normal(0, 0.1, 3 * SYMBOLS * DIMENSION)
-    return np.concatenate([vectors, np.log(frequency)]).astype(np.float32)
-
-
-def train(flat: np.ndarray, codes: np.ndarray, counts: np.ndarray, frequency: np.ndarray, seed: int) -> np.ndarray:
-    """Parameters after steps of noise-contrastive estimation with Adagrad on triples drawn by their counts."""
-    p, rng = Params(flat.copy()), np.random.default_rng(seed)
-    first, second, target = codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
-    drawn, noise = np.cumsum(counts) / counts.sum(), np.cumsum(frequency) / frequency.sum()
-    offset = np.log(NOISE * frequency).astype(np.float32)
-    past = [np.full_like(a, 1e-2) for a in (p.far, p.near, p.out, p.bias)]
-    for _ in range(STEPS + len(codes) // TRIPLES_PER_STEP):
-        at = np.minimum(np.searchsorted(drawn, rng.random(BATCH)), len(codes) - 1)
-        a, b, w = first[at], second[at], target[at]
-        m = np.minimum(np.searchsorted(noise, rng.random(NOISE)), SYMBOLS - 1)
-        h = p.far[a] + p.near[b]
-        good = (h * p.out[w]).sum(1) + p.bias[w] - offset[w]
-        bad = h @ p.out[m].T + p.bias[m] - offset[m]
-        up = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # of the logarithm of the posterior of data, and of noise
-        down = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-        dh = up[:, None] * p.out[w] + down @ p.out[m]
-        grads = [np.zeros_like(x) for x in (p.far, p.near, p.out, p.bias)]
-        np.add.at(grads[0], a, dh)
-        np.add.at(grads[1], b, dh)
-        np.add.at(grads[2], w, up[:, None] * h)
-        np.add.at(grads[2], m, down.T @ h)
-        np.add.at(grads[3], w, up)
-        np.add.at(grads[3], m, down.sum(0))
-        for x, g, s in zip((p.far, p.near, p.out, p.bias), grads, past, strict=True):
-            g /= BATCH
-            s += g * g
-            x += 0.1 * g / np.sqrt(s)
-    return p.flat
-
-
-def log10_table(flat: np.ndarray) -> np.ndarray:
-    """Normalised log10 probabilities, [first, second, symbol], from one matrix product for each first symbol."""
-    p, out = Params(flat), np.empty((SYMBOLS, SYMBOLS, SYMBOLS), np.float32)
-    for i in range(SYMBOLS):
-        s = (p.far[i] + p.near) @ p.out.T + p.bias
-        s[:, START] = -np.inf
-        s -= s.max(1, keepdims=True)
-        out[i] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / math.log(10)
-    return out
-
-
-def symbols(ids: np.ndarray) -> np.ndarray:
-    """START, START, the symbols of word numbers, END."""
-    return np.concatenate([[START, START], np.where(ids <= SHORTLIST, ids, 0), [END]])
-
-
-def numbered(tokens: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter(map(vocabulary.get, tokens, repeat(0)), np.int64, len(tokens))
-
-
-_tables: dict[int, np.ndarray] = {}
-
-
-def table_of(model, flat: np.ndarray) -> np.ndarray:
-    """The worker's table of the model, made once."""
-    if model not in _tables:
-        _tables.clear()
-        _tables[model] = log10_table(flat)
-    return _tables[model]
+class Shape:
+    """Symbols of a model: tail classes first, then the words in byte order, then the end; groups are runs of `size` symbols."""
+
+    def __init__(self, n_words: int):
+        self.end = CLASSES + n_words
+        self.start = self.end + 1  # only stands before a text
+        self.predicted = self.end + 1
+        self.size = math.ceil(math.sqrt(self.predicted))
+        self.groups = -(-self.predicted // self.size)
+        self.parts = [(self.start + 1, DIMENSION), (self.start + 1, DIMENSION), (self.predicted, DIMENSION + 1), (self.groups, DIMENSION + 1)]
+        self.length = sum(a * b for a, b in self.parts)
+
+    def tables(self, flat: np.ndarray) -> list[np.ndarray]:
+        """Vectors of the symbols as first and second context, then vectors and biases of symbols and of groups as prediction."""
+        ends = np.cumsum([a * b for a, b in self.parts])
+        return [x.reshape(p) for x, p in zip(np.split(flat, ends[:-1]), self.parts, strict=True)]
+
+
+def initial(shape: Shape, frequency: np.ndarray) -> np.ndarray:
+    """Small vectors, and the logarithms of the frequencies as biases."""
+    flat = np.random.default_rng(3).normal(0, 0.1, shape.length).astype(np.float32)
+    _, _, out, heads = shape.tables(flat)
+    out[:, -1] = np.log(frequency)
+    heads[:, -1] = np.log(np.add.reduceat(frequency, np.arange(0, len(frequency), shape.size)))
+    return flat
+
+
+def nudge(table: np.ndarray, past: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
+    """An Adagrad step on the rows `at`, which may repeat."""
+    order = np.argsort(at, kind="stable")
+    rows = at[order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    g, rows = np.add.reduceat(gradient[order], first, axis=0), rows[first]
+    past[rows] += g * g
+    table[rows] += RATE * g / np.sqrt(past[rows])
+
+
+def contrast(h: np.ndarray, target: np.ndarray, table: np.ndarray, past: np.ndarray, frequency: np.ndarray, cumulated: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One step of noise-contrastive estimation of a prediction table, with NOISE samples shared by the batch; the gradient of h."""
+    noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE, np.float32)), len(frequency) - 1)
+    h1 = np.hstack([h, np.ones((len(h), 1), np.float32)])
+    good, bad = (h1 * table[target]).sum(1) - np.log(NOISE * frequency[target]), h1 @ table[noise].T - np.log(NOISE * frequency[noise])
+    up = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # of the logarithm of the posterior of data, and of noise
+    down = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
+    dh = up[:, None] * table[target] + down @ table[noise]
+    nudge(table, past, np.concatenate([target, noise]), np.concatenate([up[:, None] * h1, down.T @ h1]))
+    return dh[:, :-1]
+
+
+class Trainer:
+    """Parameters that learn from runs of symbols, in order."""
+
+    def __init__(self, shape: Shape, flat: np.ndarray, frequency: np.ndarray, seed: int):
+        self.shape, self.flat, self.rng = shape, flat.copy(), np.random.default_rng(seed)
+        self.tables, self.past = shape.tables(self.flat), [np.ones(p, np.float32) for p in shape.parts]
+        groups = np.add.reduceat(frequency, np.arange(0, len(frequency), shape.size))
+        self.frequencies = [(f.astype(np.float32), np.cumsum(f) / f.sum()) for f in (frequency, groups)]
+
+    def learn(self, symbols: np.ndarray) -> None:
+        """A step for each BATCH of the symbols of some texts, START twice before each."""
+        at = np.flatnonzero(symbols != self.shape.start)
+        self.rng.shuffle(at)
+        far, near, out, heads = self.tables
+        for start in range(0, len(at), BATCH):
+            t = at[start : start + BATCH]
+            a, b, w = symbols[t - 2], symbols[t - 1], symbols[t]
+            h = far[a] + near[b]
+            dh = contrast(h, w, out, self.past[2], *self.frequencies[0], self.rng)
+            dh += contrast(h, w // self.shape.size, heads, self.past[3], *self.frequencies[1], self.rng)
+            nudge(far, self.past[0], a, dh)
+            nudge(near, self.past[1], b, dh)
+
+
+def log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    top = scores.max(1)
+    return scores[np.arange(len(at)), at] - top - np.log(np.exp(scores - top[:, None]).sum(1))
+
+
+def log_probabilities(shape: Shape, flat: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the model's probability of each symbol but START, normalised by matrix products over all groups and over the symbols of a group."""
+    far, near, out, heads = shape.tables(flat)
+    result = np.zeros(len(symbols))
+    at = np.flatnonzero(symbols != shape.start)
+    for start in range(0, len(at), SLICE):
+        t = at[start : start + SLICE]
+        w = symbols[t]
+        t = t[np.argsort(w, kind="stable")]
+        w = symbols[t]
+        h = far[symbols[t - 2]] + near[symbols[t - 1]]
+        group = w // shape.size
+        result[t] = log_softmax_at(h @ heads[:, :-1].T + heads[:, -1], group)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        for i, j in zip(first, [*first[1:], len(t)], strict=True):
+            members = slice(group[i] * shape.size, min(shape.predicted, (group[i] + 1) * shape.size))
+            result[t[i:j]] += log_softmax_at(h[i:j] @ out[members, :-1].T + out[members, -1], w[i:j] - members.start)
+    return result
 
 
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
@@ -134,7 +156,7 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
         held: Counter = Counter()
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for value in batch.column(0):
                 held.update(words(value.as_py()))
                 held[b""] += 1
@@ -162,44 +184,64 @@ def frequent(counts: DataFrame) -> list:
     return sorted(found, key=lambda r: (-r["n"], r["word"]))
 
 
-def triples(texts: DataFrame, text: str, vocabulary) -> DataFrame:
-    """code and n of the symbol triples of all texts."""
+def tail_class(word: bytes) -> int:
+    return zlib.crc32(word[:2]) % CLASSES
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class Words(dict):
+    """Numbers of the frequent words, from 1; for another word -1 less the number of its class."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - tail_class(word)
+
+
+def class_of(word: Column) -> Column:
+    return F.crc32(F.substring(word.cast("binary"), 1, 2)) % CLASSES
+
+
+def numbered(tokens: list[bytes], vocabulary: Words) -> np.ndarray:
+    return np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens))
+
+
+def symbols(texts: list[np.ndarray], symbol_of: np.ndarray, shape: Shape) -> np.ndarray:
+    """START, START, the symbols of the numbered words of a text and the end, for each text."""
+    out = [np.empty(0, np.int64)]
+    for ids in texts:
+        out += [(shape.start, shape.start), np.where(ids > 0, symbol_of[np.maximum(ids, 0)], -1 - ids), (shape.end,)]
+    return np.concatenate(out)
+
+
+def fit(texts: DataFrame, text: str, tokens: int, shape: Shape, vocabulary, symbol_of: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """Parameters trained on all texts, averaged over the tasks by the tokens that each has seen."""
+    flat = initial(shape, frequency)
+    told = texts.sparkSession.sparkContext.broadcast((flat, frequency, symbol_of))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat_, frequency_, symbol_of_ = told.value
+        trainer, seen = None, 0
+        for batch in pieces(batches, 0):
+            found = symbols([numbered(words(v.as_py()), vocabulary.value) for v in batch.column(0)], symbol_of_, shape)
+            trainer = trainer or Trainer(shape, flat_, frequency_, zlib.crc32(found.tobytes()))
+            trainer.learn(found)
+            seen += int((found != shape.start).sum())
+        for start in range(0, shape.length if seen else 0, PARAMETERS):
+            part = trainer.flat[start : start + PARAMETERS].astype(np.float64) * seen
+            yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([part.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["start", "x", "seen"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
         for batch in batches:
-            found = [np.empty(0, np.int64)]
-            for value in batch.column(0):
-                s = symbols(numbered(words(value.as_py()), vocabulary.value))
-                found.append((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:])
-            codes, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
-
-    return texts.select(text).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def fit(found: DataFrame, frequency: np.ndarray) -> np.ndarray:
-    """Parameters trained on (code, n), averaged over the tasks by the triples that each has seen."""
-    sc = found.sparkSession.sparkContext
-    found = found.coalesce(max(1, found.count() // TRIPLES_PER_TASK))
-    flat = start(frequency)
-    for turn in range(ROUNDS):
-        told = sc.broadcast((flat, frequency))
-
-        def run(batches: Iterator[pa.RecordBatch], told=told, turn=turn) -> Iterator[pa.RecordBatch]:
-            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-            if not parts or not sum(len(c) for c, _ in parts):
-                return
-            codes, counts = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
-            by_code = np.argsort(codes)
-            codes, counts = codes[by_code], counts[by_code].astype(np.float64)
-            flat_, frequency_ = told.value
-            weight = float(counts.sum())
-            new = train(flat_, codes, counts, frequency_, int(codes[0]) + turn).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(new))), pa.array(new * weight), pa.array(np.full(len(new), weight))], ["i", "x", "weight"])
-
-        means = found.mapInArrow(run, "i bigint, x double, weight double").groupBy("i").agg((F.sum("x") / F.sum("weight")).alias("x")).collect()  # a row for each parameter
-        if means:
-            flat = np.array([x for _, x in sorted(map(tuple, means))], np.float32)
+            for start, x, seen in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held = total.setdefault(start, [0.0, 0])
+                total[start] = [held[0] + np.frombuffer(x), held[1] + seen]
+        for start, (x, seen) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([(x / seen).astype(np.float32).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["start", "x", "seen"])
+
+    tasks = max(1, tokens // max(TOKENS_A_TASK, TOKENS_A_PARAMETER * shape.length))
+    learned = texts.select(text).coalesce(tasks).mapInArrow(learn, "start bigint, x binary, seen bigint")
+    means = learned.repartition("start").mapInArrow(add, "start bigint, x binary, seen bigint").select("start", "x").collect()  # the model, of bounded size
+    for start, x in means:
+        flat[start : start + PARAMETERS] = np.frombuffer(x, np.float32)
     return flat
 
 
@@ -212,47 +254,54 @@ def score(docs: DataFrame, train_if: Column, key: str = "doc_id", text: str = "t
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = sum(r["n"] for r in counts.where(F.col("word") == END_WORD).collect())
     top = frequent(counts.where(F.col("word") != END_WORD))
-    vocabulary = {r["word"].encode(): i for i, r in enumerate(top, 1)}
-    listed = [r["n"] for r in top[:SHORTLIST]]
-    rest, rest_kinds = total - ends - sum(listed), kinds - bool(ends) - len(listed)
-    frequency = np.full(SYMBOLS, 0.5)
-    frequency[: len(listed) + 1] += [rest, *listed]
-    frequency[END] += ends
-    frequency /= frequency.sum()
+    vocabulary = Words({r["word"].encode(): i for i, r in enumerate(top, 1)})
     log_count = np.log10(np.array([1.0, *[r["n"] + 0.5 for r in top]]))  # 0 for a word that has to be joined
 
+    listed = sorted((r["word"].encode(), i) for i, r in enumerate(top[: min(MODEL_WORDS, math.isqrt(total))], 1))
+    shape = Shape(len(listed))
+    symbol_of = np.array([0, *[tail_class(r["word"].encode()) for r in top]])
+    symbol_of[[i for _, i in listed]] = CLASSES + np.arange(len(listed))
+    mass, held = np.zeros(CLASSES), np.zeros(CLASSES)  # tokens and words of the classes
+    for class_, n, v in counts.where(F.col("word") != END_WORD).groupBy(class_of(F.col("word"))).agg(F.sum("n"), F.count("*")).collect():  # a row for each class
+        mass[class_], held[class_] = n, v
+    for word, i in listed:
+        class_ = tail_class(word)
+        mass[class_], held[class_] = mass[class_] - top[i - 1]["n"], held[class_] - 1
+    frequency = np.concatenate([mass, [top[i - 1]["n"] for _, i in listed], [ends]]) + 0.5
+    frequency /= frequency.sum()
+    of_class = np.log10(mass + 0.5 * (held + 1))
+
     told = spark.sparkContext.broadcast(vocabulary)
-    flat = fit(triples(learned, text, told).checkpoint(), frequency)
-    model = spark.sparkContext.broadcast((xxhash.xxh64_intdigest(flat.tobytes()), flat, log_count))
+    flat = fit(learned, text, total, shape, told, symbol_of, frequency)
+    model = spark.sparkContext.broadcast((flat, log_count, symbol_of, of_class))
     end_log = math.log10(ends + 0.5)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, flat_, logs = model.value
-        table = table_of(name, flat_)
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n", "known", "logs", "rest_logs", "rest", "lm")}
-            hashes, sizes = [np.empty(0, np.uint64)], [0]
+        flat_, logs, symbol_of_, of_class_ = model.value
+        for batch in pieces(batches, 1):
+            out: dict[str, list] = {k: [] for k in ("n", "known", "logs", "rest_logs", "far")}
+            texts = []
             for value in batch.column(1):
                 tokens = words(value.as_py())
                 ids = numbered(tokens, told.value)
-                s = symbols(ids)
-                out["lm"].append(float(table[s[:-2], s[1:-1], s[2:]].sum(dtype=np.float64)))
+                texts.append(ids)
+                known = ids[ids > 0]
                 out["n"].append(len(tokens) + 1)
-                out["known"].append(int((ids > 0).sum()) + (ends > 0))
-                out["logs"].append(float(logs[ids].sum()) + end_log)
-                out["rest_logs"].append(float(logs[ids[ids > SHORTLIST]].sum()))
-                out["rest"].append(int((s[2:-1] == 0).sum()))
-                tail = [xxhash.xxh64_intdigest(w, 42) for w, i in zip(tokens, ids.tolist(), strict=True) if not i]
-                hashes.append(np.array(tail, np.uint64))
-                sizes.append(len(tail))
-            far = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[k], pa.int64() if k in ("n", "known", "rest") else pa.float64()) for k in out], far], [key, *out, "far"])
-
-    scored = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n bigint, known bigint, logs double, rest_logs double, rest bigint, lm double, far array<bigint>").checkpoint()
+                out["known"].append(len(known) + (ends > 0))
+                out["logs"].append(float(logs[known].sum()) + end_log)
+                rest, far = known[symbol_of_[known] < CLASSES], np.flatnonzero(ids < 0)
+                out["rest_logs"].append(float(logs[rest].sum() - of_class_[symbol_of_[rest]].sum() - of_class_[-1 - ids[far]].sum()))
+                out["far"].append([tokens[i].decode() for i in far.tolist()])
+            found = symbols(texts, symbol_of_, shape)
+            begins = np.cumsum([0, *[len(ids) + 3 for ids in texts[:-1]]])
+            lm = np.add.reduceat(log_probabilities(shape, flat_, found), begins) / math.log(10)
+            kinds_ = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, k) for v, k in zip(out.values(), kinds_, strict=True)], pa.array(lm)], [key, *out, "lm"])
+
+    scored = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n bigint, known bigint, logs double, rest_logs double, far array<string>, lm double").checkpoint()
     scored = scored.withColumn("row", F.monotonically_increasing_id())  # of a checkpoint, which doesn't change
-    rare = counts.select(F.xxhash64("word").alias("h"), F.col("n").alias("c"))
-    joined = scored.select("row", F.explode("far").alias("h")).join(rare, "h", "left")
+    joined = scored.select("row", F.explode("far").alias("word")).join(counts.withColumnRenamed("n", "c"), "word", "left")
     tails = joined.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("far_logs"), F.count("c").alias("far_known"))
     far_logs, far_known = F.coalesce("far_logs", F.lit(0.0)), F.coalesce("far_known", F.lit(0))
     return scored.join(tails, "row", "left").select(
@@ -261,5 +310,5 @@ def score(docs: DataFrame, train_if: Column, key: str = "doc_id", text: str = "t
         (F.col("known") + far_known).alias("n_known"),
         F.lit(int(total)).cast("bigint").alias("train_tokens"),
         (F.col("logs") + far_logs - F.col("n") * math.log10(total + 0.5 * (kinds + 1))).alias("base_score"),
-        (F.col("lm") + F.col("rest_logs") + far_logs - F.col("rest") * math.log10(rest + 0.5 * (rest_kinds + 1))).alias("score"),
+        (F.col("lm") + F.col("rest_logs") + far_logs).alias("score"),
     )

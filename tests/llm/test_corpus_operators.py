@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -194,12 +195,49 @@ def test_scores(spark):
         base = sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in counts for x in w), total)
         assert abs(r.base_score - base) < 1e-9 and r.score < 0
-    table = lm_score.log10_table(lm_score.start(np.full(lm_score.SYMBOLS, 1 / lm_score.SYMBOLS)))
-    assert np.allclose((10.0 ** table[5, 7]).sum(), 1, atol=1e-4)
     scored = {r.doc_id: r.score for r in got.collect()}
     assert scored[53] > scored[52]
 
 
+def test_score_is_a_plain_recomputation_s(spark, monkeypatch):
+    """All probabilities after a context by loops over groups, symbols and words; they sum to 1."""
+    models = []
+    monkeypatch.setattr(lm_score, "fit", lambda *a, real=lm_score.fit: models.append(real(*a)) or models[-1])
+    rows = [(i, " ".join(random.choice(["cat", "dog", "é", "cow", f"w{random.randrange(40)}", f"x{i}"]) for _ in range(random.randrange(30)))) for i in range(60)]
+    got = {r.doc_id: r.score for r in lm_score.score(docs(spark, [*rows, (70, None), (71, "new Cat unseen " * 3000)]), F.col("doc_id") < 50).collect()}
+    counts = Counter(w for _, t in rows[:50] for w in t.split())
+    tokens = sum(counts.values()) + 50
+    listed = sorted(w for w in sorted(counts, key=lambda w: (-counts[w], w))[: math.isqrt(tokens)])
+    shape = lm_score.Shape(len(listed))
+    far, near, out, heads = shape.tables(models[0].astype(float))
+
+    def symbol(w):
+        return lm_score.CLASSES + listed.index(w) if w in listed else zlib.crc32(w.encode()[:2]) % lm_score.CLASSES
+
+    def share(w):
+        same = [counts[x] for x in counts if x not in listed and symbol(x) == symbol(w)]
+        return 1 if w in listed else (counts[w] + 0.5) / (sum(same) + 0.5 * (len(same) + 1))
+
+    def probability(a, b, s):
+        h = [x + y for x, y in zip(far[a], near[b], strict=True)]
+        value = lambda row: math.exp(sum(x * y for x, y in zip(h, row[:-1], strict=True)) + row[-1])
+        group, members = s // shape.size, range(s // shape.size * shape.size, min(shape.predicted, (s // shape.size + 1) * shape.size))
+        return value(heads[group]) / sum(map(value, heads)) * value(out[s]) / sum(value(out[m]) for m in members)
+
+    for i, t in [*rows[45:60], (70, "")]:
+        s = [shape.start, shape.start, *map(symbol, t.split()), shape.end]
+        want = sum(math.log10(probability(*s[k - 2 : k + 1])) for k in range(2, len(s))) + sum(math.log10(share(w)) for w in t.split())
+        assert abs(got[i] - want) < 1e-3 * (1 + len(s)), (i, got[i], want)
+    assert abs(sum(probability(3, shape.start, s) for s in range(shape.predicted)) - 1) < 1e-9
+    assert got[71] < -3 * 3000
+
+
+def test_scores_beat_the_base_on_held_out_texts(spark):
+    got = queries.op3_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.05
+    assert lm_score.score(docs(spark, []), F.lit(True)).count() == 0
+
+
 def test_scores_without_training_rows(spark):
     got = lm_score.score(docs(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got} == {(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)}
