@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagewake.functions import urls
+
+#: White space and line ends of texts.
+SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 NOISE = r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>"
 
 
 def normal_text(text: Column) -> Column:
-    """Line ends unified, blanks in lines collapsed, runs of blank lines made one, none at either end."""
-    unified = F.regexp_replace(text, "\r\n?", "\n")
-    lines = F.transform(F.split(unified, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
+    """Line ends unified, blanks in lines collapsed, white space at their ends gone, runs of blank lines made one, none at either end."""
+    lines = F.transform(F.split(text, LINE_END), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), f"^[{SPACE}]+|[{SPACE}]+$", ""))
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), "^\n+|\n+$", "")
 
 
@@ -23,22 +27,45 @@ def content_hash(text: Column) -> Column:
 
 
 def compare_basis(*choices: tuple[str, Column]) -> tuple[Column, Column]:
-    """Name and text of the first choice that isn't blank."""
-    basis, text = F.lit("none"), F.lit("")
-    for name, value in reversed(choices):
-        basis, text = (F.when(F.trim(value) != "", a).otherwise(b) for a, b in ((F.lit(name), basis), (value, text)))
+    """Name and text, without white space at its ends, of the first choice that isn't blank; else the last choice as it is."""
+    basis, text = F.lit(choices[-1][0]), F.coalesce(choices[-1][1], F.lit(""))
+    for name, value in reversed(choices[:-1]):
+        bare = F.regexp_replace(value, f"^[{SPACE}]+|[{SPACE}]+$", "")
+        basis, text = (F.when(bare != "", a).otherwise(b) for a, b in ((F.lit(name), basis), (bare, text)))
     return basis, text
 
 
+def unescaped(value: Column) -> Column:
+    """A value of an attribute or of an XML text: the character references that URLs hold decoded."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(name), F.lit(char))
+    return value
+
+
+def attribute(value: Column) -> Column:
+    return unescaped(F.regexp_replace(value, "^[\"']|[\"']$", ""))
+
+
 def links(html: Column) -> Column:
-    """The `href` values of anchors, as written."""
-    return F.regexp_extract_all(html, F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    """The `href` values of anchors, however quoted, in page order; comments hold none."""
+    plain = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    found = F.regexp_extract_all(plain, F.lit(r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<=[\s"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1))
+    return F.transform(found, lambda x: urls.stripped(attribute(x)))
+
+
+def feed_links(xml: Column) -> Column:
+    """Texts of `loc`, and texts or `href` values of `link`, of a sitemap or feed."""
+    loc, text = (F.regexp_extract_all(xml, F.lit(rf"(?s)<(?:\w+:)?{tag}(?:\s[^>]*)?>([^<]*)(?=<)"), F.lit(1)) for tag in ("loc", "link"))
+    href = F.regexp_extract_all(xml, F.lit(r"""(?s)<(?:\w+:)?link\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+    return F.concat(F.transform(F.concat(loc, text), lambda x: urls.stripped(unescaped(x))), F.transform(href, attribute))
 
 
-def absolute_links(html: Column, base: Column) -> Column:
-    """Sorted distinct links, root-relative ones joined with the origin of the page."""
-    joined = F.transform(links(html), lambda x: F.when(F.startswith(x, F.lit("/")), F.concat(base, x)).otherwise(x))
-    return F.array_sort(F.array_distinct(F.filter(joined, lambda x: F.rlike(x, F.lit("^https?://")))))
+def absolute_links(html: Column, page: Column) -> Column:
+    """Sorted distinct http(s) links of a page, seen from its URL, or of a sitemap or feed."""
+    head = F.lower(F.substring(F.regexp_replace(html, r"^\s+", ""), 1, 256))
+    is_feed = F.startswith(head, F.lit("<?xml")) | F.rlike(head, F.lit("<(rss|feed|urlset|sitemapindex)"))
+    found = F.when(is_feed, feed_links(html)).otherwise(F.transform(links(html), lambda x: urls.joined(page, x)))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: F.rlike(x, F.lit("(?i)^https?:")))))
 
 
 def fit_markdown(markdown: Column) -> Column:

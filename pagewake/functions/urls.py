@@ -20,8 +20,37 @@ _SCHEME, _NETLOC, _PATH, _QUERY = (
 )
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def part(url: Column, pattern: str) -> Column:
-    return F.regexp_extract(F.trim(url), pattern, 1)
+    return F.regexp_extract(stripped(url), pattern, 1)
+
+
+def form_decoded(text: Column) -> Column:
+    """A part of a query: blanks for `+`, octets for escapes; a percent sign alone stays."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def form_encoded(text: Column) -> Column:
+    """A part of a query: `+` for blanks, escapes for all but letters, digits and `_.-~`."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def escape_normal(text: Column, safe: str) -> Column:
+    """Escapes of letters, digits and `-._~` decoded, others in upper case, and characters outside `safe` escaped."""
+    tokens = F.regexp_extract_all(text, F.lit(r"(?s)%[0-9A-Fa-f]{2}|."), F.lit(0))
+    plain = F.lit(r"^[A-Za-z0-9._~-]$")
+
+    def one(x: Column) -> Column:
+        octet = F.char(F.conv(F.substring(x, 2, 2), 16, 10).cast("bigint"))
+        escape = F.when(F.rlike(octet, plain), octet).otherwise(F.upper(x))
+        quoted = F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1")
+        return F.when(F.length(x) == 3, escape).when(F.rlike(x, F.lit(safe)), x).otherwise(quoted)
+
+    return F.array_join(F.transform(tokens, one), "")
 
 
 def path_of(url: Column) -> Column:
@@ -39,10 +68,10 @@ def host(url: Column) -> Column:
 
 
 def query_pairs(query: Column) -> Column:
-    """(key, value) pairs of a query, sorted, without tracking keys; a key without `=` has an empty value."""
+    """(key, value) pairs of a query, decoded, sorted, without tracking keys; a key without `=` has an empty value."""
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
-        lambda p: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("key"), F.regexp_extract(p, "^[^=]*=(.*)$", 1).alias("value")),
+        lambda p: F.struct(form_decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("key"), form_decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("value")),
     )
     kept = F.filter(pairs, lambda p: ~(F.startswith(F.lower(p["key"]), F.lit("utm_")) | F.lower(p["key"]).isin(*TRACKING_KEYS)))
     return F.array_sort(kept)
@@ -50,7 +79,7 @@ def query_pairs(query: Column) -> Column:
 
 def request_url(url: Column) -> Column:
     """The URL to ask for: no tracking keys or fragment, sorted query, lower-case origin; empty if it isn't absolute."""
-    pairs = F.array_join(F.transform(query_pairs(part(url, _QUERY)), lambda p: F.concat(p["key"], F.lit("="), p["value"])), "&")
+    pairs = F.array_join(F.transform(query_pairs(part(url, _QUERY)), lambda p: F.concat(form_encoded(p["key"]), F.lit("="), form_encoded(p["value"]))), "&")
     path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
     whole = F.concat(origin(url), path, F.when(pairs != "", F.concat(F.lit("?"), pairs)).otherwise(""))
     return F.when((part(url, _SCHEME) != "") & (part(url, _NETLOC) != ""), whole).otherwise("")
@@ -66,8 +95,33 @@ def canonical_url(url: Column) -> Column:
 
 
 def matches_prefixes(path: Column, prefixes: Column) -> Column:
-    """Whether a path lies under one of an array of prefixes, by whole segments; `/` holds all, no prefix none."""
-    return F.exists(prefixes, lambda p: (p == "/") | (path == p) | F.startswith(path, F.concat(p, F.lit("/"))))
+    """Whether a path lies under one of an array of prefixes, by whole segments and whatever slashes end them; `/` holds all, no prefix none."""
+    bare = lambda x: F.regexp_replace(x, "/+$", "")
+    return F.exists(prefixes, lambda p: (bare(p) == "") | (bare(path) == bare(p)) | F.startswith(bare(path), F.concat(bare(p), F.lit("/"))))
+
+
+def joined(base: Column, ref: Column) -> Column:
+    """A reference as an absolute URL, seen from a page: other schemes, `//host`, rooted, relative, `?query`, `#fragment`."""
+    scheme, whole = part(base, _SCHEME), F.regexp_extract(stripped(base), "^([^#]*)", 1)
+    at, bare = F.concat(scheme, F.lit("://"), part(base, _NETLOC)), F.regexp_extract(whole, r"^([^?]*)", 1)
+    path, tail = F.regexp_extract(ref, "^([^?#]*)", 1), F.regexp_extract(ref, r"(?s)^[^?#]*(.*)$", 1)
+    rooted = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.regexp_replace(path_of(base), "[^/]*$", ""), path))
+    last = F.rlike(rooted, F.lit(r"(^|/)\.{1,2}$"))  # a step at the end leaves its slash
+    steps = F.aggregate(
+        F.split(rooted, "/"),
+        F.array().cast("array<string>"),
+        lambda out, s: F.when(s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).when(s == ".", out).otherwise(F.concat(out, F.array(s))),
+    )
+    found = F.concat(F.array_join(steps, "/"), F.when(last, "/").otherwise(""))
+    relative = F.concat(at, F.when(F.startswith(found, F.lit("/")), found).otherwise(F.concat(F.lit("/"), found)), tail)
+    return (
+        F.when(F.rlike(ref, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), ref)
+        .when(ref == "", stripped(base))
+        .when(F.startswith(ref, F.lit("//")), F.concat(scheme, F.lit(":"), ref))
+        .when(F.startswith(ref, F.lit("?")), F.concat(bare, ref))
+        .when(F.startswith(ref, F.lit("#")), F.concat(whole, ref))
+        .otherwise(relative)
+    )
 
 
 def in_scope(url: Column, allowed_origin: Column, prefixes: Column) -> Column:

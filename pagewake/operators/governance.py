@@ -8,18 +8,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewake.functions import urls
+
 
 def parse_robots(files: DataFrame, key: str, body: str) -> DataFrame:
-    """key, line, agent, allow, pattern of each rule; agents that follow each other share the rules below them."""
+    """key, line, agent, allow, pattern of each rule; agents that follow each other share the rules below them.
+
+    An agent without rules has one row, of nulls: it is named, and all is allowed to it. Agents other than
+    `*` and product tokens are ignored.
+    """
     lines = files.select(key, F.posexplode(F.split(body, "\r\n|\r|\n")).alias("line", "raw"))
     bare = F.trim(F.regexp_replace("raw", "#.*$", ""))
     told = lines.select(key, "line", F.lower(F.trim(F.regexp_extract(bare, "^([^:]*):", 1))).alias("field"), F.trim(F.regexp_extract(bare, "^[^:]*:(.*)$", 1)).alias("value")).where(F.col("field").isin("user-agent", "allow", "disallow"))
     w = Window.partitionBy(key).orderBy("line")
     starts = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(w), F.lit("")) != "user-agent")
     grouped = told.withColumn("starts", starts.cast("int")).withColumn("group", F.sum("starts").over(w))
-    agents = grouped.where("field = 'user-agent'").select(key, "group", F.lower("value").alias("agent")).distinct()
+    valid = F.rlike("value", F.lit(r"^(\*|[-A-Za-z_]+)$"))
+    agents = grouped.where("field = 'user-agent'").where(valid).select(key, "group", F.lower("value").alias("agent")).distinct()
     rules = grouped.where("field <> 'user-agent' AND value <> ''").select(key, "group", "line", (F.col("field") == "allow").alias("allow"), F.col("value").alias("pattern"))
-    return rules.join(agents, [key, "group"]).select(key, "line", "agent", "allow", "pattern")
+    told = agents.join(rules, [key, "group"], "left").select(key, "line", "agent", "allow", "pattern")
+    ruled = agents.join(rules, [key, "group"]).select(key, "agent").distinct()
+    return told.where("pattern IS NOT NULL").unionByName(told.where("pattern IS NULL").join(ruled, [key, "agent"], "left_anti").distinct())
 
 
 def selected_rules(rules: DataFrame, key: str, agent: str) -> DataFrame:
@@ -28,21 +37,34 @@ def selected_rules(rules: DataFrame, key: str, agent: str) -> DataFrame:
     return own.unionByName(rules.where("agent = '*'").join(own.select(key).distinct(), key, "left_anti"))
 
 
+#: Characters of a rule or target that stay as they are (fixed value).
+SAFE = r"^[A-Za-z0-9/%?=&:+,;$!*'()@\[\]~._-]$"
+
+
+def match_normal(text: Column) -> Column:
+    return urls.escape_normal(text, SAFE)
+
+
 def pattern_regex(pattern: Column) -> Column:
     """A regular expression of a rule: `*` for anything, `$` for the end."""
-    quoted = F.regexp_replace(F.regexp_replace(pattern, r"\$$", ""), r"([\\.\[\]{}()+?^$|])", r"\\$1")
+    quoted = F.regexp_replace(match_normal(F.regexp_replace(pattern, r"\$$", "")), r"([\\.\[\]{}()+?^$|])", r"\\$1")
     return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\*", ".*"), F.when(F.endswith(pattern, F.lit("$")), F.lit("$")).otherwise(""))
 
 
 def specificity(pattern: Column) -> Column:
-    """Octets of a pattern without `*` and an end mark."""
-    return F.octet_length(F.regexp_replace(F.regexp_replace(pattern, r"\$$", ""), r"\*", ""))
+    """Octets of a pattern without `*` and an end mark; an escape is one."""
+    return F.octet_length(F.regexp_replace(F.regexp_replace(match_normal(F.regexp_replace(pattern, r"\$$", "")), r"\*", ""), "%[0-9A-F]{2}", "_"))
 
 
-def allowed(urls: DataFrame, rules: DataFrame, key: str, target: str, row: str) -> DataFrame:
-    """row, allowed, specificity: the longest matching rule decides, allow wins ties, no rule allows."""
-    hit = F.rlike(F.col(target), pattern_regex(F.col("pattern")))
-    found = urls.join(rules, key, "left").withColumn("hit", F.coalesce(hit, F.lit(False)))
+def allowed(targets: DataFrame, rules: DataFrame, key: str, target: str, row: str) -> DataFrame:
+    """row, allowed, specificity: the longest matching rule decides, allow wins ties, no rule allows.
+
+    `target` is a path, with its query if it has one.
+    """
+    rules = rules.withColumn("regex", pattern_regex(F.col("pattern")))
+    targets = targets.withColumn("_target", match_normal(F.when(F.col(target) == "", "/").otherwise(F.col(target))))
+    hit = F.rlike("_target", F.col("regex"))
+    found = targets.join(rules, key, "left").withColumn("hit", F.coalesce(hit, F.lit(False)))
     found = found.withColumn("rank", F.when(F.col("hit"), F.struct(specificity(F.col("pattern")).alias("octets"), F.col("allow"))))
     return found.groupBy(row).agg(F.max("rank").alias("best")).select(row, F.coalesce("best.allow", F.lit(True)).alias("allowed"), F.coalesce("best.octets", F.lit(0)).alias("specificity"))
 
@@ -113,8 +135,18 @@ def disposition(kind: Column, allowed_: Column) -> Column:
 
 
 def has_userinfo(text: Column) -> Column:
-    """Whether a text holds a URI with user information, as it is or percent-decoded once or twice."""
-    once = F.replace(F.replace(F.replace(text, F.lit("%40"), F.lit("@")), F.lit("%3A"), F.lit(":")), F.lit("%2F"), F.lit("/"))
-    twice = F.replace(F.replace(F.replace(F.replace(once, F.lit("%25"), F.lit("%")), F.lit("%40"), F.lit("@")), F.lit("%3A"), F.lit(":")), F.lit("%2F"), F.lit("/"))
-    mark = F.lit(r"//[^/?#\s@]+@")
-    return F.rlike(text, mark) | F.rlike(once, mark) | F.rlike(twice, mark)
+    """Whether a text holds a URI with user information, as it is or percent-decoded once or twice.
+
+    Full-width and small forms of the marks count as the marks.
+    """
+    def decoded(x: Column) -> Column:  # escapes of ASCII, and of the other forms of the marks
+        for octets, char in (("%EF%BC%A0|%EF%B9%AB", "@"), ("%EF%BC%9A|%EF%B9%95", ":"), ("%EF%BC%8F", "/")):
+            x = F.regexp_replace(x, f"(?i){octets}", char)
+        tokens = F.regexp_extract_all(x, F.lit(r"(?s)%[0-7][0-9A-Fa-f]|."), F.lit(0))
+        return F.array_join(F.transform(tokens, lambda t: F.when(F.length(t) == 3, F.char(F.conv(F.substring(t, 2, 2), 16, 10).cast("bigint"))).otherwise(t)), "")
+
+    def marked(x: Column) -> Column:
+        return F.rlike(F.translate(x, "\uff20\ufe6b\uff1a\ufe55\uff0f", "@@::/"), F.lit(r"//[^/?#\s@]*@"))
+
+    once = decoded(text)
+    return marked(text) | (F.contains(text, F.lit("%")) & (marked(once) | marked(decoded(once))))

@@ -9,8 +9,7 @@ from pagewake.functions import html, texts
 from pagewake.plans.registry import register
 from pagewake.sources.tables import table
 
-_UNIFIED = "regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g')"
-_NORMAL = f"regexp_replace(regexp_replace(list_aggregate(list_transform(string_split({_UNIFIED}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), 'string_agg', chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g')"
+_NORMAL = f"regexp_replace(regexp_replace(list_aggregate(list_transform(regexp_split_to_array(text, '{texts.LINE_END}'), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '^[{texts.SPACE}]+|[{texts.SPACE}]+$', '', 'g')), 'string_agg', chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g')"
 
 
 @register(f"SELECT doc_id, {_NORMAL} AS normal, sha256({_NORMAL}) AS content_hash FROM documents")
@@ -37,9 +36,9 @@ def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("SELECT doc_id, CASE WHEN trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END) <> '' THEN 'fit_markdown' WHEN trim(lang) <> '' THEN 'markdown' ELSE 'none' END AS basis, CASE WHEN trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END) <> '' THEN text ELSE lang END AS chosen FROM documents")
+@register("SELECT doc_id, CASE WHEN trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END) <> '' THEN 'fit_markdown' WHEN doc_id % 2 = 0 AND trim(lang) <> '' THEN 'markdown' ELSE 'content_text' END AS basis, CASE WHEN trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END) <> '' THEN trim(text, chr(10) || chr(9) || ' ') WHEN doc_id % 2 = 0 AND trim(lang) <> '' THEN lang ELSE coalesce(source, '') END AS chosen FROM documents")
 def compare_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    basis, text = texts.compare_basis(("fit_markdown", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text"))), ("markdown", F.col("lang")))
+    basis, text = texts.compare_basis(("fit_markdown", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text"))), ("markdown", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))), ("content_text", F.col("source")))
     return table(spark, sf_dir, "documents").select("doc_id", basis.alias("basis"), text.alias("chosen"))
 
 

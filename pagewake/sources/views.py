@@ -86,9 +86,11 @@ def sql_origin(u: str) -> str:
 
 def sql_query(u: str) -> str:
     """The sorted query without tracking keys."""
-    pairs = f"list_transform(list_filter(string_split({QUERY.format(u=u)}, '&'), lambda p: p <> ''), lambda p: {{'key': regexp_extract(p, '^([^=]*)', 1), 'value': regexp_extract(p, '^[^=]*=(.*)$', 1)}})"
+    decoded = "url_decode(replace(regexp_extract(p, '{}', 1), '+', ' '))"
+    pairs = f"list_transform(list_filter(string_split({QUERY.format(u=u)}, '&'), lambda p: p <> ''), lambda p: {{'key': {decoded.format('^([^=]*)')}, 'value': {decoded.format('^[^=]*=(.*)$')}}})"
+    encoded = "replace(url_encode(p.{}), '%20', '+')"
     kept = f"list_filter({pairs}, lambda p: NOT (starts_with(lower(p.key), 'utm_') OR lower(p.key) IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid')))"
-    return f"coalesce(list_aggregate(list_transform(list_sort({kept}), lambda p: p.key || '=' || p.value), 'string_agg', '&'), '')"
+    return f"coalesce(list_aggregate(list_transform(list_sort({kept}), lambda p: {encoded.format('key')} || '=' || {encoded.format('value')}), 'string_agg', '&'), '')"
 
 
 def sql_request(u: str) -> str:
