@@ -44,8 +44,8 @@ MODEL_WORDS, FREQUENT = 50_000, 50_000
 DIMENSION, BATCH, NOISE, RATE = 24, 4096, 32, 0.05
 #: Least tokens of a training task, for each parameter and in all.
 TOKENS_A_PARAMETER, TOKENS_A_TASK = 4, 1_000_000
-#: Tokens that are scored together, and parameters of a block when models are averaged.
-SLICE, PARAMETERS = 32_768, 4096
+#: Tokens that are scored together and in one matrix product, and parameters of a block when models are averaged.
+SLICE, PART, PARAMETERS = 65_536, 1024, 4096
 #: The word that stands for the end of a text in the counts; words are never empty.
 END_WORD = ""
 
@@ -79,24 +79,34 @@ def initial(shape: Shape, frequency: np.ndarray) -> np.ndarray:
 
 def nudge(table: np.ndarray, past: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
     """An Adagrad step on the rows `at`, which may repeat."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # a radix sort; there are less than 2**16 symbols
     rows = at[order]
     first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
     g, rows = np.add.reduceat(gradient[order], first, axis=0), rows[first]
-    past[rows] += g * g
-    table[rows] += RATE * g / np.sqrt(past[rows])
+    seen = past[rows]
+    seen += g * g
+    past[rows] = seen
+    table[rows] += RATE * g / np.sqrt(seen, out=seen)
 
 
 def contrast(h: np.ndarray, target: np.ndarray, table: np.ndarray, past: np.ndarray, frequency: np.ndarray, cumulated: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """One step of noise-contrastive estimation of a prediction table, with NOISE samples shared by the batch; the gradient of h."""
     noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE, np.float32)), len(frequency) - 1)
-    h1 = np.hstack([h, np.ones((len(h), 1), np.float32)])
-    good, bad = (h1 * table[target]).sum(1) - np.log(NOISE * frequency[target]), h1 @ table[noise].T - np.log(NOISE * frequency[noise])
+    h1 = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
+    rows, others, log_share = table[target], table[noise], np.log(NOISE * frequency)
+    good, bad = np.einsum("ij,ij->i", h1, rows) - log_share[target], h1 @ others.T
+    bad -= log_share[noise]
     up = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # of the logarithm of the posterior of data, and of noise
-    down = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-    dh = up[:, None] * table[target] + down @ table[noise]
-    nudge(table, past, np.concatenate([target, noise]), np.concatenate([up[:, None] * h1, down.T @ h1]))
-    return dh[:, :-1]
+    np.clip(bad, -30, 30, out=bad)
+    down = np.exp(np.negative(bad, out=bad), out=bad)
+    down += 1
+    np.divide(-1, down, out=down)
+    of_noise = down.T @ h1
+    rows *= up[:, None]
+    rows += down @ others
+    h1 *= up[:, None]
+    nudge(table, past, np.concatenate([target, noise]), np.concatenate([h1, of_noise]))
+    return rows[:, :-1]
 
 
 class Trainer:
@@ -123,9 +133,17 @@ class Trainer:
             nudge(near, self.past[1], b, dh)
 
 
-def log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = scores.max(1)
-    return scores[np.arange(len(at)), at] - top - np.log(np.exp(scores - top[:, None]).sum(1))
+def log_softmax_at(h: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithms of the softmax over a table's rows, at one row for each h; in parts that stay in the cache."""
+    out, vectors, bias = np.empty(len(h), np.float32), np.ascontiguousarray(table[:, :-1].T), table[:, -1]
+    for start in range(0, len(h), PART):
+        part = slice(start, start + PART)
+        scores = h[part] @ vectors
+        scores += bias
+        scores -= scores.max(1, keepdims=True)
+        chosen = scores[np.arange(len(scores)), at[part]]
+        out[part] = chosen - np.log(np.exp(scores, out=scores).sum(1))
+    return out
 
 
 def log_probabilities(shape: Shape, flat: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -136,15 +154,15 @@ def log_probabilities(shape: Shape, flat: np.ndarray, symbols: np.ndarray) -> np
     for start in range(0, len(at), SLICE):
         t = at[start : start + SLICE]
         w = symbols[t]
-        t = t[np.argsort(w, kind="stable")]
+        t = t[np.argsort(w.astype(np.uint16), kind="stable")]
         w = symbols[t]
         h = far[symbols[t - 2]] + near[symbols[t - 1]]
         group = w // shape.size
-        result[t] = log_softmax_at(h @ heads[:, :-1].T + heads[:, -1], group)
+        result[t] = log_softmax_at(h, heads, group)
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         for i, j in zip(first, [*first[1:], len(t)], strict=True):
             members = slice(group[i] * shape.size, min(shape.predicted, (group[i] + 1) * shape.size))
-            result[t[i:j]] += log_softmax_at(h[i:j] @ out[members, :-1].T + out[members, -1], w[i:j] - members.start)
+            result[t[i:j]] += log_softmax_at(h[i:j], out[members], w[i:j] - members.start)
     return result
 
 
@@ -192,7 +210,7 @@ class Words(dict):
     """Numbers of the frequent words, from 1; for another word -1 less the number of its class."""
 
     def __missing__(self, word: bytes) -> int:
-        return -1 - tail_class(word)
+        return -1 - zlib.crc32(word[:2]) % CLASSES
 
 
 def class_of(word: Column) -> Column:
