@@ -6,7 +6,7 @@ returns the documents it keeps, with the columns of `documents`; the last one ad
 * language: documents without a determined language go (null texts, texts without a letter).
 * lines: repeated line chunks are cut from the texts; documents left without text go.
 * near duplicates: one document of each group of five-word-shingle similarity 0.8 stays, the one
-  with the least doc_id.
+  with the least doc_id; of repeated rows, one.
 * benchmark: documents that hold a benchmark passage go.
 * tokens: byte-level BPE ids, their number and digests.
 """
@@ -37,8 +37,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_duplicates.find(docs, size=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows are told apart by key and text: of repeated rows one stays, and texts without a key are copies if equal."""
+    found = near_duplicates.find(docs, size=5, percent=80).withColumnsRenamed({"doc_id": "_id", "text_hash": "_t"})
+    told = found.groupBy("_id", "_t").agg(F.every("kept").alias("_kept"), F.count("*").alias("_rows")).where("NOT _kept OR _rows > 1").checkpoint()
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_hash"))
+    single = rows.join(told.hint("shuffle_hash"), same, "left_anti")
+    repeated = rows.join(told.where("_kept").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return single.unionByName(repeated).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
