@@ -304,6 +304,17 @@ def test_pipeline_stages_take_effect(spark, sf):
     assert not any(p in t for t in left.values() for p in passages)
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark, sf):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, a), (1, a), (2, b), (2, a + " x"), (3, b), (4, "one"), (None, b), (None, "none"), (None, "none"), (5, None), (5, None), (6, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_dedup(spark, table, sf)
+    assert kept.columns == table.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (4, "one"), (None, b), (None, "none"), (5, None), (6, "")], key=repr)
+    assert corpus_pipeline.near_dedup(spark, table.limit(0), sf).count() == 0
+
+
 def test_pipeline_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "n_tokens", "token_ids"} <= set(got.columns)
