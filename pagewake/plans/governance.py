@@ -60,26 +60,23 @@ def redirect_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.redirect_breaks(hops, "conv_id").select("conv_id", "ordinal", "broken", "downgrade")
 
 
-#: Links of the page graph: a page leads to two others.
-_EDGES = 'edges AS (SELECT page_id AS "from", page_id * 2 + 1 AS "to" FROM pages UNION ALL SELECT page_id, page_id * 2 + 2 FROM pages)'
+#: A walk of four levels from the root of each site; `best` has each node's least depth.
+WALK = f"""WITH RECURSIVE {views.PAGE_GRAPH}, w AS (SELECT DISTINCT site AS scope, site || '/' AS node, 0 AS depth FROM site_pages WHERE page <> ''
+    UNION SELECT w.scope, e."to", w.depth + 1 FROM w JOIN edges e ON e."from" = w.node WHERE w.depth < 4), best AS (SELECT scope, node, min(depth) AS depth FROM w GROUP BY scope, node)"""
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return p.select(F.col("page_id").alias("from"), F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("to"))
-
-
-@register(f"WITH RECURSIVE {_EDGES}, w AS (SELECT 1 AS scope, 0::BIGINT AS node, 0 AS depth, NULL::BIGINT AS parent UNION ALL SELECT w.scope, e.\"to\", w.depth + 1, e.\"from\" FROM w JOIN edges e ON e.\"from\" = w.node WHERE w.depth < 4) SELECT * FROM w")
+@register(f"""{WALK} SELECT b.scope, b.node, b.depth, min(a.node) AS parent FROM best b LEFT JOIN edges e ON e."to" = b.node AND b.depth > 0 LEFT JOIN best a ON a.scope = b.scope AND a.node = e."from" AND a.depth = b.depth - 1 GROUP BY b.scope, b.node, b.depth""")
 def link_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.range(1).select(F.lit(1).alias("scope"), F.col("id").alias("node"))
-    return graph.traverse(_edges(spark, sf_dir), seeds, 4)
+    """What a walk of four levels from each site's root reaches."""
+    return graph.traverse(views.page_graph(spark, sf_dir), views.page_seeds(spark, sf_dir), 4)
 
 
 @register("SELECT page_id AS child, page_id AS parent FROM pages WHERE page_id % 50 = 0")
 def lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All links of the page graph but those of every fiftieth page, which has a loop instead: only the loops are left."""
-    e = _edges(spark, sf_dir).select(F.col("to").alias("child"), F.col("from").alias("parent")).where("parent % 50 <> 0 AND child % 50 <> 0")
-    loops = table(spark, sf_dir, "pages").where("page_id % 50 = 0").select(F.col("page_id").alias("child"), F.col("page_id").alias("parent"))
+    """A tree over all pages, two children each, but for every fiftieth page, which has a loop instead: only the loops are left."""
+    p = table(spark, sf_dir, "pages")
+    e = p.select(F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("child"), F.col("page_id").alias("parent")).where("parent % 50 <> 0 AND child % 50 <> 0")
+    loops = p.where("page_id % 50 = 0").select(F.col("page_id").alias("child"), F.col("page_id").alias("parent"))
     return graph.cyclic(e.unionByName(loops))
 
 

@@ -7,25 +7,22 @@ from pyspark.sql import functions as F
 
 from pagewake.functions import feeds
 from pagewake.operators import runs
-from pagewake.plans.governance import _EDGES, _edges
+from pagewake.plans.governance import WALK
 from pagewake.plans.registry import register
 from pagewake.sources import views
 from pagewake.sources.tables import table
 from pagewake.sources.views import FILES, SNAPSHOTS
 
-_WALK = f'WITH RECURSIVE {_EDGES}, w AS (SELECT 0::BIGINT AS node, 0 AS depth UNION ALL SELECT e."to", w.depth + 1 FROM w JOIN edges e ON e."from" = w.node WHERE w.depth < 5)'
-
-
 @register(
-    f"""{_WALK}, {SNAPSHOTS}, p AS (SELECT page_id AS node, content_hash AS hash FROM snapshots WHERE run_id = 1), c AS (SELECT page_id AS node, content_hash AS hash FROM snapshots WHERE run_id = 2 AND page_id IN (SELECT node FROM w)),
-    cut AS (SELECT count(*) > 0 AS cut FROM w WHERE depth = 5 AND node IN (SELECT page_id FROM pages))
+    f"""{WALK}, {SNAPSHOTS}, h AS (SELECT run_id, canonical_url AS node, arg_max(content_hash, id) AS hash FROM snapshots WHERE canonical_url <> '' GROUP BY ALL),
+    p AS (SELECT node, hash FROM h WHERE run_id = 1), c AS (SELECT node, hash FROM h WHERE run_id = 2 AND node IN (SELECT node FROM best)),
+    cut AS (SELECT count(*) > 0 AS cut FROM best WHERE depth = 4 AND node IN (SELECT "from" FROM edges))
     SELECT coalesce(p.node, c.node) AS node, CASE WHEN p.node IS NULL THEN 'new' WHEN c.node IS NULL THEN CASE WHEN (SELECT cut FROM cut) THEN 'unknown' ELSE 'missing' END WHEN p.hash <> c.hash THEN 'changed' ELSE 'same' END AS change FROM p FULL JOIN c ON p.node = c.node"""
 )
 def run_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An incremental run: a walk of five levels over run 2, and what changed since run 1."""
-    s = views.snapshots(spark, sf_dir).select(F.col("page_id").alias("node"), F.col("content_hash").alias("hash"), "run_id")
-    seeds = spark.range(1).select(F.lit(1).alias("scope"), F.col("id").alias("node"))
-    told, _ = runs.incremental(s.where("run_id = 1").drop("run_id"), s.where("run_id = 2").drop("run_id"), _edges(spark, sf_dir), seeds, 5)
+    """An incremental run: a walk of four levels from each site's root over run 2, and what changed since run 1."""
+    s = views.snapshots(spark, sf_dir).where("canonical_url <> ''").groupBy("run_id", F.col("canonical_url").alias("node")).agg(F.max_by("content_hash", "id").alias("hash"))
+    told, _ = runs.incremental(s.where("run_id = 1").drop("run_id"), s.where("run_id = 2").drop("run_id"), views.page_graph(spark, sf_dir), views.page_seeds(spark, sf_dir), 4)
     return told.select("node", "change")
 
 

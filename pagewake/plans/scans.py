@@ -116,10 +116,7 @@ def duplicate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", F.when(by_url > 1, "url").when(by_digest > 1, "digest").otherwise("none").alias("duplicate_reason"))
 
 
-_LINKS = "regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)"
-
-
-@register(f"WITH {views.CAPTURES}, l AS (SELECT page_id, run_id, CASE WHEN run_id = 1 AND page_id % 2 = 0 THEN [] ELSE {_LINKS} END AS links FROM captures) SELECT a.page_id, list_filter(b.links, lambda x: NOT list_contains(a.links, x)) AS new_links FROM l a JOIN l b ON a.page_id = b.page_id AND a.run_id = 1 AND b.run_id = 2")
+@register(f"WITH {views.CAPTURES}, l AS (SELECT page_id, run_id, CASE WHEN run_id = 1 AND page_id % 2 = 0 THEN [] ELSE {views.LINKS} END AS links FROM captures) SELECT a.page_id, list_filter(b.links, lambda x: NOT list_contains(a.links, x)) AS new_links FROM l a JOIN l b ON a.page_id = b.page_id AND a.run_id = 1 AND b.run_id = 2")
 def new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of the second run that the first run lacks, repeats kept; of every second page, the first run kept none."""
     c = views.captures(spark, sf_dir).select("page_id", "run_id", texts.links(F.col("html")).alias("links"))
@@ -127,15 +124,12 @@ def new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "page_id").select("page_id", texts.new_items(F.col("links"), F.col("old")).alias("new_links"))
 
 
-_ABSOLUTE = f"list_sort(list_distinct(list_filter(list_transform({_LINKS}, lambda x: CASE WHEN starts_with(x, '/') THEN {views.sql_origin('url')} || x ELSE x END), lambda x: regexp_matches(x, '^https?://'))))"
-
-
-@register(f"SELECT page_id, unnest({_ABSOLUTE}) AS link FROM pages")
+@register(f"SELECT page_id, unnest({views.ABSOLUTE}) AS link FROM pages")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(texts.absolute_links(F.col("html"), F.col("url"))).alias("link"))
 
 
-@register(f"WITH e AS (SELECT page_id, {views.sql_origin('url')} AS site, unnest({_ABSOLUTE}) AS link FROM pages) SELECT site, count(*) AS n_links, count(DISTINCT link) AS n_targets, count(*) FILTER (regexp_matches(lower({views.sql_path('link')}), '\\.(pdf|docx|doc|xlsx|xls|pptx|ppt)$')) AS n_documents FROM e GROUP BY site")
+@register(f"WITH e AS (SELECT page_id, {views.sql_origin('url')} AS site, unnest({views.ABSOLUTE}) AS link FROM pages) SELECT site, count(*) AS n_links, count(DISTINCT link) AS n_targets, count(*) FILTER (regexp_matches(lower({views.sql_path('link')}), '\\.(pdf|docx|doc|xlsx|xls|pptx|ppt)$')) AS n_documents FROM e GROUP BY site")
 def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select(urls.origin(F.col("url")).alias("site"), "url", "html")
     e = p.select("site", F.explode(texts.absolute_links(F.col("html"), F.col("url"))).alias("link"))

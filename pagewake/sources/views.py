@@ -10,12 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewake.functions import urls
+from pagewake.functions import texts, urls
 from pagewake.sources.tables import table
 
-#: Pages that files are spread over.
-FILE_PAGES = 50
-
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, page_id, url, html of two runs; the second lacks pages, has others, and has changed some."""
@@ -40,11 +37,12 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, run_id, page_id, site, download_url, sha256, doc_type of files found on pages."""
+    """id, run_id, page_id, site, download_url, sha256, doc_type of files, spread over all pages."""
+    n_pages = table(spark, sf_dir, "pages").select(F.nullif(F.count("*"), F.lit(0))).scalar()
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         (1 + F.floor(F.col("doc_id") / 20) % 2).cast("int").alias("run_id"),
-        (F.col("doc_id") % FILE_PAGES).alias("page_id"),
+        (F.col("doc_id") % n_pages).alias("page_id"),
         F.col("source").alias("site"),
         F.concat(F.lit("https://"), "source", F.lit(".example.org/files/"), F.floor(F.col("doc_id") / 40).cast("string"), F.lit(".pdf")).alias("download_url"),
         F.sha2("text", 256).alias("sha256"),
@@ -53,6 +51,23 @@ def file_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """from, to of the links inside each site: its root leads to its sections, these to their pages, and pages where their anchors point."""
+    u = F.col("url")
+    p = table(spark, sf_dir, "pages").select("url", "html", urls.origin(u).alias("site"), urls.canonical_url(u).alias("page"), urls.path_prefix(urls.path_of(u), 1).alias("section")).where("page <> ''")
+    root, section = F.concat("site", F.lit("/")), F.concat("site", "section")
+    tree = p.select(F.explode(F.array(F.struct(root.alias("from"), section.alias("to")), F.struct(section.alias("from"), F.col("page").alias("to")))).alias("e")).select("e.*")
+    anchors = p.select("site", F.col("page").alias("from"), F.explode(texts.absolute_links(F.col("html"), u)).alias("link"))
+    inside = anchors.where(urls.origin(F.col("link")) == F.col("site")).select("from", urls.canonical_url(F.col("link")).alias("to"))
+    return tree.unionByName(inside).distinct()
+
+
+def page_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scope, node: the root of each site."""
+    site = urls.origin(F.col("url"))
+    return table(spark, sf_dir, "pages").where(urls.canonical_url(F.col("url")) != "").select(site.alias("scope"), F.concat(site, F.lit("/")).alias("node")).distinct()
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, site_id, detected_at, change_type, summary: the log of changes."""
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("site_id"), F.col("ts").cast("timestamp_ntz").alias("detected_at"), F.col("event_type").alias("change_type"), F.col("props").alias("summary"))
@@ -120,11 +135,19 @@ SNAPSHOTS = f"""{CAPTURES}, snapshots AS (
   SELECT (run_id * 1000000000 + page_id)::BIGINT AS id, run_id, page_id, {sql_origin('url')} AS site, {sql_canonical('url')} AS canonical_url,
     {sql_path('url')} AS path, sha256(html) AS content_hash FROM captures
 )"""
-FILES = f"""files AS (
-  SELECT doc_id AS id, (1 + (doc_id // 20) % 2)::INT AS run_id, doc_id % {FILE_PAGES} AS page_id, source AS site,
+FILES = """files AS (
+  SELECT doc_id AS id, (1 + (doc_id // 20) % 2)::INT AS run_id, doc_id % (SELECT nullif(count(*), 0) FROM pages) AS page_id, source AS site,
     'https://' || source || '.example.org/files/' || (doc_id // 40)::VARCHAR || '.pdf' AS download_url, sha256(text) AS sha256,
     CASE WHEN doc_id % 3 = 0 THEN 'docx' ELSE 'pdf' END AS doc_type, length(text)::BIGINT AS file_size FROM documents
 )"""
+LINKS = "regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)"
+ABSOLUTE = f"list_sort(list_distinct(list_filter(list_transform({LINKS}, lambda x: CASE WHEN starts_with(x, '/') THEN {sql_origin('url')} || x ELSE x END), lambda x: regexp_matches(x, '^https?://'))))"
+PAGE_GRAPH = f"""site_pages AS (
+  SELECT url, html, {sql_origin('url')} AS site, {sql_canonical('url')} AS page, {sql_prefix(sql_path('url'), 1)} AS section FROM pages
+), anchors AS (SELECT site, page, unnest({ABSOLUTE}) AS link FROM site_pages WHERE page <> ''), edges AS (
+  SELECT site || '/' AS "from", site || section AS "to" FROM site_pages WHERE page <> '' UNION SELECT site || section, page FROM site_pages WHERE page <> ''
+  UNION SELECT page, {sql_canonical('link')} FROM anchors WHERE {sql_origin('link')} = site
+)"""
 CHANGES = "changes AS (SELECT event_id AS id, user_id AS site_id, ts AS detected_at, event_type AS change_type, props AS summary FROM events)"
 JOBS = "jobs AS (SELECT o_orderkey AS job_id, o_custkey AS scope_id, o_orderpriority AS job_type, o_orderstatus AS status, o_orderdate AS finished_at FROM orders)"
 ATTEMPTS = "attempts AS (SELECT conv_id AS request_id, turn AS position, role AS executor, text AS body FROM conversations)"
