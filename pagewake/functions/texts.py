@@ -119,13 +119,23 @@ def looks_like_xml(text: Column) -> Column:
     return F.rlike(head, F.lit(r"^(<\?xml|<rss|<feed|<urlset|<sitemapindex)"))
 
 
-def script_markers(html: Column) -> Column:
-    """Names of marks of script-made pages in a page, in the order listed."""
-    low = F.lower(html)
-    marks = {"next": "__next_data__", "react": "data-reactroot", "vue": "data-v-app", "angular": "ng-version", "noscript": "<noscript"}
-    found = [F.when(F.contains(low, F.lit(v)), k) for k, v in marks.items()]
-    many = F.when(F.size(F.split(low, "<script")) - 1 >= 15, "many_scripts")
-    return F.array_compact(F.array(*found, many))
+def script_markers(html: Column, words: Column) -> Column:
+    """Marks of script-made pages in a page of so many words, in the order listed."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    scripts = F.size(F.split(low, "<script")) - 1
+
+    def holds(*marks: str) -> Column:
+        return F.greatest(F.lit(False), *[F.contains(low, F.lit(m)) for m in marks])
+
+    return F.array_compact(
+        F.array(
+            F.when(holds("__next", "__next_data__"), "nextjs"),
+            F.when(holds('id="root"', "id='root'", "data-reactroot"), "react-root"),
+            F.when(holds("gatsby"), "gatsby"),
+            F.when(scripts >= 20, F.concat(F.lit("scripts="), scripts.cast("string"))),
+            F.when((words < 120) & (scripts >= 10), "low_text_high_script"),
+        )
+    )
 
 
 def blocked_marker(text: Column, markers: Sequence[str]) -> Column:

@@ -51,10 +51,17 @@ def text_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", texts.redacted(t).alias("redacted"), texts.blocked_marker(t, ["Licensed", "idiot"]).alias("marker"))
 
 
-@register("SELECT page_id, regexp_matches(lower(ltrim(substr(html, 1, 256))), '^(<\\?xml|<rss|<feed|<urlset|<sitemapindex)') AS is_xml, list_filter([CASE WHEN contains(lower(html), '__next_data__') THEN 'next' END, CASE WHEN contains(lower(html), 'data-reactroot') THEN 'react' END, CASE WHEN contains(lower(html), 'data-v-app') THEN 'vue' END, CASE WHEN contains(lower(html), 'ng-version') THEN 'angular' END, CASE WHEN contains(lower(html), '<noscript') THEN 'noscript' END, CASE WHEN len(string_split(lower(html), '<script')) - 1 >= 15 THEN 'many_scripts' END], lambda x: x IS NOT NULL) AS markers FROM pages")
+@register(
+    """WITH m AS (SELECT page_id, page_id * 7 % 200 AS words, html || repeat('<script>', (page_id % 24)::INT) || ['', '__NEXT', 'gatsby', '<p id="root">'][page_id % 4 + 1] AS html FROM pages), t AS (SELECT *, lower(html) AS low, len(string_split(lower(html), '<script')) - 1 AS scripts FROM m)
+    SELECT page_id, regexp_matches(lower(ltrim(substr(html, 1, 256))), '^(<\\?xml|<rss|<feed|<urlset|<sitemapindex)') AS is_xml, list_filter([CASE WHEN contains(low, '__next') THEN 'nextjs' END, CASE WHEN contains(low, 'id="root"') OR contains(low, 'id=' || chr(39) || 'root' || chr(39)) OR contains(low, 'data-reactroot') THEN 'react-root' END,
+    CASE WHEN contains(low, 'gatsby') THEN 'gatsby' END, CASE WHEN scripts >= 20 THEN 'scripts=' || scripts END, CASE WHEN words < 120 AND scripts >= 10 THEN 'low_text_high_script' END], lambda x: x IS NOT NULL) AS markers FROM t"""
+)
 def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", texts.looks_like_xml(h).alias("is_xml"), texts.script_markers(h).alias("markers"))
+    """Pages with up to 23 more scripts and some marks added."""
+    by = F.col("page_id")
+    mark = F.get(F.array(*map(F.lit, ("", "__NEXT", "gatsby", '<p id="root">'))), by % 4)
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.repeat(F.lit("<script>"), (by % 24).cast("int")), mark).alias("html"))
+    return p.select("page_id", texts.looks_like_xml(F.col("html")).alias("is_xml"), texts.script_markers(F.col("html"), by * 7 % 200).alias("markers"))
 
 
 @register("WITH t AS (SELECT page_id, url AS content FROM pages) SELECT page_id, CASE WHEN starts_with(content, '%PDF') THEN 'pdf' END AS kind, list_filter(list_transform(string_split(url, '/'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM t JOIN pages USING (page_id)")

@@ -136,16 +136,31 @@ def scope_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {views.FILES} SELECT id, 'artifact-' || substr(sha256('["' || site || '","' || download_url || '","file","' || sha256 || '"]'), 1, 24) AS artifact_id,
-    'version-' || substr(sha256('["' || run_id::VARCHAR || '","' || download_url || '","' || sha256 || '"]'), 1, 24) AS version_id,
-    'lineage-' || substr(sha256('["' || run_id::VARCHAR || '","derived_from","' || sha256 || '"]'), 1, 24) AS lineage_id FROM files"""
+    f"""WITH {_SITE_PREFIXES}, lists AS (SELECT site, list(DISTINCT prefix ORDER BY prefix) AS p FROM prefixes GROUP BY site)
+    SELECT site, sha256('{{"algorithm":"monitor-scope-semantic.v2","allowed_file_prefixes":["/"],"allowed_page_prefixes":[' || list_aggregate(list_transform(p, lambda x: '"' || x || '"'), 'string_agg', ',') || '],"file_scope_mode":"site_root","homepage_url":"' || site || '","max_depth":3,"max_files":20,"max_pages":' || len(p) || ',"seed_url":"' || site || '","site_key":"' || site || '","tree_strategy":"sections"}}') AS fingerprint FROM lists"""
+)
+def semantic_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan for each site, of all its prefixes."""
+    lists = planning.site_prefixes(views.snapshots(spark, sf_dir)).groupBy("site").agg(F.collect_set("prefix").alias("p"))
+    home = F.concat("site", F.lit("/"))
+    return lists.select("site", identity.semantic_fingerprint(F.col("site"), home, home, F.col("p"), F.array(F.lit("/")), F.lit("sections"), F.lit("site_root"), F.lit(3), F.size("p"), F.lit(20)).alias("fingerprint"))
+
+
+@register(f"""WITH s AS (SELECT DISTINCT {sql_origin('url')} AS site FROM pages) SELECT site, sha256('{{"canonical_origin":"' || site || '","identity_sha256":"' || sha256('monitor') || '","policy_version":"access-policy.v1"}}') AS cache_key FROM s""")
+def policy_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "pages").select(urls.origin(F.col("url")).alias("site")).distinct()
+    return s.select("site", identity.policy_key(F.col("site"), F.sha2(F.lit("monitor"), 256)).alias("cache_key"))
+
+
+_ARTIFACT = """substr(sha256('{"manifest_version":"acquisition-manifest.v1","normalized_source_identity":"' || download_url || '","sha256":' || coalesce('"' || sha256 || '"', 'null') || ',"source_run_id":"' || run_id || '"}'), 1, 24)"""
+
+
+@register(
+    f"""WITH {views.FILES}, a AS (SELECT id, {_ARTIFACT} AS digest FROM files) SELECT id, 'artifact-' || digest AS artifact_id, 'version-' || digest AS version_id,
+    'lineage-' || substr(sha256('{{"artifact_id":"artifact-' || digest || '","ordinal":' || id % 3 || ',"related_artifact_id":"artifact-0","relation":"derived_from"}}'), 1, 24) AS lineage_id FROM a"""
 )
 def artifact_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = views.file_observations(spark, sf_dir)
-    run = F.col("run_id").cast("string")
-    return f.select(
-        "id",
-        identity.artifact_id(F.col("site"), F.col("download_url"), F.lit("file"), F.col("sha256")).alias("artifact_id"),
-        identity.version_id(run, F.col("download_url"), F.col("sha256")).alias("version_id"),
-        identity.lineage_id(run, F.lit("derived_from"), F.col("sha256")).alias("lineage_id"),
-    )
+    of = F.col("run_id").cast("string"), F.col("download_url"), F.col("sha256")
+    ids = f.select("id", identity.artifact_id(*of).alias("artifact_id"), identity.version_id(*of).alias("version_id"))
+    return ids.withColumn("lineage_id", identity.lineage_id(F.col("artifact_id"), F.lit("derived_from"), F.lit("artifact-0"), F.col("id") % 3))

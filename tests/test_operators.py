@@ -1,7 +1,11 @@
 """Operators on small tables with known results."""
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
+from pagewake.functions import identity
 from pagewake.operators import acquisition, changes, governance, graph, planning, review, sections, state, summary
 from pagewake.plans import registry
 from pagewake.streaming import changes as streams
@@ -108,3 +112,57 @@ def test_lineage_takes_all_pages(spark, sf, monkeypatch):
     pages = {r.page_id for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     assert {r.parent for r in given[0].collect()} == pages
     assert left == sorted([(p, p) for p in pages if p % 50 == 0], key=repr)
+
+
+def test_capture_verdicts(spark):
+    rows = [
+        (200, "html", 50, 0, 0, "text", (True, "content_ok")),
+        (200, "html", 49, 9, 9, "text", (False, "too_little_content")),
+        (None, "html", 50, 0, 0, "text", (True, "content_ok")),
+        (503, "xml_feed", 50, 9, 9, "text", (False, "http_503")),
+        (503, "html", 50, 9, 9, "x ACCESS denied", (False, "blocked_interstitial")),
+        (200, "html", 50, 9, 9, " " * 400 + "access denied", (True, "content_ok")),
+        (200, "xml_sitemap", 0, 5, 0, "", (True, "sitemap_inventory")),
+        (200, "xml_sitemap", 99, 4, 0, "", (False, "sitemap_too_small")),
+        (200, "xml_feed", 9, 2, 2, "", (False, "feed_too_small")),
+        (200, "xml_feed", 10, 0, 0, "", (True, "feed_inventory")),
+    ]
+    df = spark.createDataFrame([r[:6] for r in rows], "status int, kind string, words int, links int, items int, text string")
+    got = df.select(acquisition.capture_verdict(*map(F.col, df.columns)).alias("v")).collect()
+    assert [tuple(r.v) for r in got] == [r[6] for r in rows]
+
+
+def test_quality_gates(spark):
+    rows = [
+        ("passed", "", "", 200, 120, 3, 0, "", "passed"),
+        ("passed", "", "captcha", None, 1, 2, 0, "blocked marker found: captcha; status_code None is not OK; word_count 1 < min_words 120; link_count 2 < min_links 3", "blocked"),
+        ("passed", "", "", 301, 120, 3, 0, "status_code 301 is not OK", "failed_quality_gate"),
+        ("error", "", "captcha", 500, 0, 0, 0, None, "error"),
+        ("failed", "Blocked Marker found: x", "", 200, 120, 3, 0, "", "blocked"),
+    ]
+    df = spark.createDataFrame([r[:7] for r in rows], "before string, reason string, marker string, status int, words int, links int, documents int")
+    failed = acquisition.failed_gates(*map(F.col, ("marker", "status", "words", "links", "documents")))
+    got = df.select(F.array_join(failed, "; ").alias("why"), acquisition.outcome(F.col("before"), F.col("reason"), F.col("marker"), failed).alias("o")).collect()
+    assert [r.o for r in got] == [r[8] for r in rows]
+    assert [r.why for r, w in zip(got, rows) if w[7] is not None] == [w[7] for w in rows if w[7] is not None]
+
+
+def test_identities_are_digests_of_canonical_json(spark):
+    def sha(value, ascii_only):
+        return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only).encode()).hexdigest()
+
+    source, control = "https://h/ü\"\\u00FC/\U0001f600", "a\x1f\x7f\n"
+    row = spark.createDataFrame([(source, control)], "s string, c string")
+    none = F.lit(None).cast("string")
+    got = row.select(
+        identity.artifact_id(F.col("c"), F.col("s"), none).alias("a"),
+        identity.version_id(F.col("c"), F.col("s"), none).alias("v"),
+        identity.lineage_id(F.lit("x"), F.col("c"), F.lit("y"), F.lit(2)).alias("l"),
+        identity.scope_fingerprint(F.concat("s", F.lit("//")), F.array(F.lit(" b/ "), F.lit("/b"), F.lit("ü//"), F.lit(" ")), F.array(F.lit("//")), F.lit(" HTTP ")).alias("f"),
+        identity.policy_key(F.col("s"), F.lit("i")).alias("p"),
+    ).first()
+    whole = sha({"manifest_version": "acquisition-manifest.v1", "normalized_source_identity": source, "sha256": None, "source_run_id": control}, False)
+    assert (got.a, got.v) == (f"artifact-{whole[:24]}", f"version-{whole[:24]}")
+    assert got.l == "lineage-" + sha({"artifact_id": "x", "ordinal": 2, "related_artifact_id": "y", "relation": control}, False)[:24]
+    assert got.f == sha({"seed_url": source, "allowed_page_prefixes": ["/b", "/ü"], "allowed_file_prefixes": ["/"], "fetch_mode": "http"}, True)
+    assert got.p == sha({"canonical_origin": source, "identity_sha256": "i", "policy_version": "access-policy.v1"}, False)
