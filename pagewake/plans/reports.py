@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewake.operators import changes, planning, review, summary
@@ -147,7 +147,9 @@ def unselected_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def period_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.changes(spark, sf_dir).where(F.col("detected_at") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
     per_site = c.groupBy("change_type", "site_id").agg(F.count("*").alias("n"))
-    return per_site.groupBy("change_type").agg(F.sum("n").alias("n"), F.count("*").alias("n_sites"), F.slice(F.array_sort(F.collect_list("site_id")), 1, 5).alias("first_sites"))
+    rank = F.row_number().over(Window.partitionBy("change_type").orderBy("site_id"))
+    first = per_site.where("site_id IS NOT NULL").withColumn("_r", rank).where("_r <= 5").groupBy("change_type").agg(F.array_sort(F.collect_list("site_id")).alias("first_sites"))
+    return per_site.groupBy("change_type").agg(F.sum("n").alias("n"), F.count("*").alias("n_sites")).join(first, "change_type", "left")
 
 
 @register(f"WITH {FILES} SELECT site, doc_type, count(*) AS n, sum(file_size)::BIGINT AS bytes FROM files GROUP BY ALL")

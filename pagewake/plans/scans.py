@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewake.functions import texts, urls
@@ -110,10 +110,11 @@ def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {FILES}, n AS (SELECT *, row_number() OVER (PARTITION BY download_url ORDER BY id) AS a, row_number() OVER (PARTITION BY sha256 ORDER BY id) AS b FROM files) SELECT id, CASE WHEN a > 1 THEN 'url' WHEN b > 1 THEN 'digest' ELSE 'none' END AS duplicate_reason FROM n")
 def duplicate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an earlier file has the URL, or else the digest."""
-    f = views.file_observations(spark, sf_dir)
-    by_url = F.row_number().over(Window.partitionBy("download_url").orderBy("id"))
-    by_digest = F.row_number().over(Window.partitionBy("sha256").orderBy("id"))
-    return f.select("id", F.when(by_url > 1, "url").when(by_digest > 1, "digest").otherwise("none").alias("duplicate_reason"))
+    f = views.file_observations(spark, sf_dir).select("id", "download_url", "sha256")
+    by_url = f.groupBy("download_url").agg(F.min("id").alias("of_url"))
+    by_digest = f.groupBy(F.col("sha256").alias("digest")).agg(F.min("id").alias("of_digest"))
+    both = f.join(by_url, "download_url").join(by_digest, F.col("sha256").eqNullSafe(F.col("digest")))
+    return both.select("id", F.when(F.col("id") > F.col("of_url"), "url").when(F.col("id") > F.col("of_digest"), "digest").otherwise("none").alias("duplicate_reason"))
 
 
 @register(f"WITH {views.CAPTURES}, l AS (SELECT page_id, run_id, CASE WHEN run_id = 1 AND page_id % 2 = 0 THEN [] ELSE {views.LINKS} END AS links FROM captures) SELECT a.page_id, list_filter(b.links, lambda x: NOT list_contains(a.links, x)) AS new_links FROM l a JOIN l b ON a.page_id = b.page_id AND a.run_id = 1 AND b.run_id = 2")
