@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,9 @@ INTERSTITIALS = ("access denied", "performing security verification", "request u
 BLOCKED = ("access denied", "captcha", "cloudflare", "enable javascript", "forbidden")
 #: Expectations of a smoke catalog under which an unresolved optional site passes (fixed values).
 EXPECTED_ISSUES = ("known_blocked", "broken_upstream", "ssl_issue")
-#: Keys of a job's artifacts, the first that is there being the primary one, and its kind (fixed values).
+#: Keys of a job's artifacts, the first that is there being the primary one, and its kind. Kinds but that of the manifest are fixed values.
 ARTIFACTS = {
-    "manifest_json_path": "web_listening_manifest",
+    "manifest_json_path": "manifest",
     "output_path": "tracking_report",
     "yaml_path": "yaml_artifact",
     "report_path": "workflow_report",
@@ -121,10 +121,10 @@ def next_action(status: Column, n_artifacts: Column) -> Column:
     return F.when(status.isin("queued", "running"), "poll_job_status").when(status == "failed", "inspect_job_error").when(n_artifacts > 0, "read_job_artifacts").otherwise("inspect_job_record")
 
 
-def artifact_contract(made: Column) -> Column:
+def artifact_contract(made: Column, kinds: Mapping[str, str] = ARTIFACTS) -> Column:
     """primary_key, primary_kind, primary_path and sorted path_keys of a map of artifacts: keys that end in `_path`, with a path."""
     paths = F.map_filter(made, lambda k, v: F.endswith(k, F.lit("_path")) & (F.trim(v) != ""))
-    known = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("kind")) for k, v in ARTIFACTS.items()])
+    known = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("kind")) for k, v in kinds.items()])
     first = F.get(F.filter(known, lambda x: F.map_contains_key(paths, x["key"])), F.lit(0))
     found = (("primary_key", first["key"]), ("primary_kind", first["kind"]), ("primary_path", F.try_element_at(paths, first["key"])))
     return F.struct(*[F.coalesce(c, F.lit("")).alias(name) for name, c in found], F.array_sort(F.map_keys(paths)).alias("path_keys"))
