@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_text, language_id, line_dedup, lm_score, near_duplicates, secrets, url_filters
+from . import ann, bpe, decontaminate, fill_in_middle, html_text, language_id, line_dedup, lm_score, near_duplicates, prefix_trie, secrets, url_filters
 from .common import fold, table
 
 #: Host, path, verdict.
@@ -75,7 +75,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_lm_score, op4_ann, op5_bpe, op6_url_filters, op7_secrets, op8_line_dedup, op9_near_duplicates, op10_decontaminate)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of the rebuilt conversations."""
+    return prefix_trie.of_blocks(table(spark, sf_dir, "conversations"), block=20, most=4)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text is transformed, half of them into spm; units are lines."""
+    recipe = fill_in_middle.Recipe(units=fill_in_middle.LINES, seed=7, percent=100, spm_percent=50)
+    return fill_in_middle.transform(table(spark, sf_dir, "documents"), recipe, digests=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_lm_score, op4_ann, op5_bpe, op6_url_filters, op7_secrets, op8_line_dedup, op9_near_duplicates, op10_decontaminate, op11_prefix_trie, op13_fill_in_middle)}
 
 _OP6 = """
 WITH cut AS (
@@ -213,4 +224,50 @@ SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_
 FROM d LEFT JOIN place USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLE = {"op9_near_duplicates": _OP9, "op10_decontaminate": _OP10, "op7_secrets": _OP7, "op8_line_dedup": _OP8, "op6_url_filters": _OP6}
+#: CRC-32 of the id as text, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({id}::VARCHAR) + 1), lambda i: ascii(({id}::VARCHAR)[i])::BIGINT)),
+    lambda crc, code: list_reduce(list_prepend(xor(crc, code), range(8)), lambda c, bit: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)))"""
+
+#: Each node as the list of its turns; a subtree is what begins with it.
+_OP11 = f"""
+WITH turns AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(t ORDER BY p) AS ts FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, ts, {_CRC32.format(id="conv_id")} % 4 AS h FROM own
+), made AS (
+  SELECT c.conv_id, list_concat(coalesce(b.ts, [])[1:c.h], c.ts[c.h + 1:]) AS ts FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+), member AS (
+  SELECT conv_id, len(ts) AS n, d, ts[1:d] AS seq FROM (SELECT *, unnest(range(len(ts) + 1)) AS d FROM made)
+), node AS (
+  SELECT d, seq, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d) AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(seq[d].text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) END AS words FROM member GROUP BY d, seq
+), child AS (
+  SELECT d - 1 AS d, seq[1:d - 1] AS seq, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL
+), told AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM node n LEFT JOIN child c ON c.d = n.d AND c.seq = n.seq
+), passed AS (
+  SELECT e, seq[1:e] AS seq, sum((n_convs - 1) * words) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT *, unnest(range(d + 1)) AS e FROM told) GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM told n JOIN passed s ON s.e = n.d AND s.seq = n.seq LEFT JOIN node p ON p.d = n.d - 1 AND p.seq = n.seq[1:n.d - 1] AND n.d > 0
+"""
+
+_DRAW13 = "('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), {at}, 8))::BIGINT"
+_OP13 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units,
+    {_DRAW13.format(at=1)} AS h1, {_DRAW13.format(at=9)} AS h2, {_DRAW13.format(at=17)} AS h3, {_DRAW13.format(at=25)} AS h4 FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS lo, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS hi,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), cut AS (
+  SELECT *, coalesce(array_to_string(units[1:lo], ''), '') AS a, coalesce(array_to_string(units[lo + 1:hi], ''), '') AS m, coalesce(array_to_string(units[hi + 1:], ''), '') AS z FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(body) AS restored_sha256 FROM cut
+"""
+
+ORACLE = {"op11_prefix_trie": _OP11, "op13_fill_in_middle": _OP13, "op9_near_duplicates": _OP9, "op10_decontaminate": _OP10, "op7_secrets": _OP7, "op8_line_dedup": _OP8, "op6_url_filters": _OP6}

@@ -29,7 +29,7 @@ def docs(spark, rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_is_its_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(queries.ORACLE[name])
     columns = [c[0] for c in want.description]
