@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, fill_in_middle, html_text, language_id, line_dedup, lm_score, near_duplicates, prefix_trie, secrets, url_filters
+from . import ann, bpe, decontaminate, fill_in_middle, html_text, language_id, line_dedup, lm_score, near_duplicates, prefix_trie, secrets, toxicity, url_filters
 from .common import fold, table
 
 #: Host, path, verdict.
@@ -80,13 +80,21 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.of_blocks(table(spark, sf_dir, "conversations"), block=20, most=4)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labels of four of five folds of the keys; `held_out` marks the fifth."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text is transformed, half of them into spm; units are lines."""
     recipe = fill_in_middle.Recipe(units=fill_in_middle.LINES, seed=7, percent=100, spm_percent=50)
     return fill_in_middle.transform(table(spark, sf_dir, "documents"), recipe, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_lm_score, op4_ann, op5_bpe, op6_url_filters, op7_secrets, op8_line_dedup, op9_near_duplicates, op10_decontaminate, op11_prefix_trie, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_text, op3_lm_score, op4_ann, op5_bpe, op6_url_filters, op7_secrets, op8_line_dedup, op9_near_duplicates, op10_decontaminate, op11_prefix_trie, op12_toxicity, op13_fill_in_middle)}
 
 _OP6 = """
 WITH cut AS (
