@@ -29,8 +29,9 @@ are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -178,9 +179,14 @@ def machine(x: np.ndarray, y: np.ndarray, cost: float, steps: int = 40) -> np.nd
     target = np.where(y > 0, 2.0, 0.0)
     w, inside = np.zeros(x.shape[1]), np.ones(len(x), bool)
     for _ in range(steps):
-        rows = x[inside] * weight[inside, None]
-        w = np.linalg.solve(np.eye(x.shape[1]) + rows.T @ x[inside], rows.T @ target[inside])
-        now = y * (x @ w - 1) < 1
+        square, right = np.eye(x.shape[1]), np.zeros(x.shape[1])
+        for at in range(0, len(x), 2000):
+            rows = np.flatnonzero(inside[at : at + 2000]) + at
+            part = x[rows].astype(np.float64)
+            square += (part * weight[rows, None]).T @ part
+            right += part.T @ (weight[rows] * target[rows])
+        w = np.linalg.solve(square, right)
+        now = y * (x @ w.astype(x.dtype) - 1) < 1
         if (now == inside).all():
             break
         inside = now
@@ -228,11 +234,12 @@ class Nystrom:
         kept = size > 1e-6 * size[-1]
         self.white = vectors[:, kept] / np.sqrt(size[kept])
 
-    def table(self, strings: list, y: np.ndarray, cost: float) -> np.ndarray:
-        """A machine's weight of each of the 2**20 subsequences; y is -1 or 1."""
-        features = kernel(strings, self.marks) @ self.white
-        scale = np.sqrt((features**2).sum(1).mean()) or 1.0
-        shares = self.white @ machine(features / scale, y, cost) / scale
+    def table(self, strings: Iterable, y: np.ndarray, cost: float) -> np.ndarray:
+        """A machine's weight of each of the 2**20 subsequences; y is -1 or 1. Only the features of the strings are held."""
+        features = np.concatenate([(kernel(some, self.marks) @ self.white).astype(np.float32) for some in batched(strings, 500)])
+        scale = float(np.sqrt((features**2).sum(1).mean())) or 1.0
+        features /= scale
+        shares = self.white @ machine(features, y, cost) / scale
         table = np.zeros(2 ** (BITS * LETTERS), np.float32)
         for (code, weight), a in zip(self.marks, shares, strict=True):
             table[code] += a * weight
@@ -293,13 +300,13 @@ def fit(sentences: list[tuple[int, str, int]], cost: float = COST) -> np.ndarray
     nystrom = Nystrom(landmarks_of(letters, others, np.repeat(number, np.diff(starts)), labels, rnd))
     spans = list(zip(starts, starts[1:] - SPAN, strict=False))
     some = np.concatenate([rnd.permutation(np.flatnonzero(y == sign))[: FIRST // 2] for sign in (1, -1)])
-    table = nystrom.table([subsequences(letters[a:b], others[a:b]) for a, b in (spans[i] for i in some)], y[some], cost)
+    table = nystrom.table((subsequences(letters[a:b], others[a:b]) for a, b in (spans[i] for i in some)), y[some], cost)
     for quantile in ABOVE:
         most, first = highest(starts_scores(letters, others, table), starts)
         above = np.quantile(most[y < 0], quantile)
         chosen = np.flatnonzero(most >= np.where(y < 0, np.quantile(most[y < 0], HARD), above))
         met = [(a + f, min(a + f + WINDOW + SPAN - 1, b)) for (a, b), f in ((spans[i], first[i]) for i in chosen)]
-        table = nystrom.table([subsequences(letters[a:b], others[a:b]) for a, b in met], y[chosen], cost)
+        table = nystrom.table((subsequences(letters[a:b], others[a:b]) for a, b in met), y[chosen], cost)
     return table
 
 
