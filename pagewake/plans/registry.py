@@ -31,4 +31,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from pagewake.plans import acquisition, changes, decisions, governance, reports, runs, scans, sections, texts, urls  # noqa: E402, F401
+from pagewake.plans import acquisition, changes, decisions, diagnosis, governance, reports, runs, scans, sections, texts, urls  # noqa: E402, F401
