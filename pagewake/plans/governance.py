@@ -41,7 +41,13 @@ def pacing_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.pacing_breaches(e, "user_id", "ts", 600).select("id", "waited")
 
 
-@register()
+@register(
+    """WITH RECURSIVE e AS (SELECT event_id AS id, user_id, epoch_us(ts) / 1000000.0 AS s FROM events), w AS (
+      SELECT user_id, min(s) AS start FROM e GROUP BY user_id
+      UNION ALL SELECT w.user_id, (SELECT min(e.s) FROM e WHERE e.user_id = w.user_id AND e.s >= w.start + 21600) FROM w WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = w.user_id AND e.s >= w.start + 21600)
+    ), t AS (SELECT e.id, e.user_id, e.s, w.start FROM e ASOF JOIN w ON e.user_id = w.user_id AND e.s >= w.start), n AS (SELECT id, start, row_number() OVER (PARTITION BY user_id, start ORDER BY s, id) AS slot FROM t)
+    SELECT id, start AS window_start, slot, slot <= 5 AS admitted FROM n"""
+)
 def budget_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of six hours and five requests for each user."""
     at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at")
