@@ -16,6 +16,7 @@ def incremental(previous: DataFrame, captures: DataFrame, edges: DataFrame, seed
     nodes not reached are unknown, not missing. Returns (node, change, old_hash, new_hash), and one
     row of (complete, pages).
     """
+    edges = graph.checkpointed(edges.select("from", "to"))
     reached = graph.traverse(edges, seeds, depth)
     cut = reached.where(F.col("depth") == depth).join(edges, F.col("node") == F.col("from"), "left_semi").limit(1).count() > 0
     got = captures.join(reached.select("node").distinct(), "node", "left_semi")
