@@ -63,10 +63,18 @@ def failed_gates(marker: Column, status: Column, words: Column, links: Column, d
     )
 
 
+def was_blocked(before: Column, reason_before: Column) -> Column:
+    return (before == "blocked") | F.contains(F.lower(reason_before), F.lit("blocked marker"))
+
+
+def failure_reason(before: Column, reason_before: Column, failed: Column) -> Column:
+    """The reason that an error or a block came with, or else the gates that failed."""
+    return F.when((before == "error") | was_blocked(before, reason_before), reason_before).otherwise(F.array_join(failed, "; "))
+
+
 def outcome(before: Column, reason_before: Column, marker: Column, failed: Column) -> Column:
     """Status of an attempt: an error stays, a block stays, a marker comes before other failed gates."""
-    was_blocked = (before == "blocked") | F.contains(F.lower(reason_before), F.lit("blocked marker"))
-    return F.when(before == "error", "error").when(was_blocked, "blocked").when(F.size(failed) == 0, "passed").when(marker != "", "blocked").otherwise("failed_quality_gate")
+    return F.when(before == "error", "error").when(was_blocked(before, reason_before), "blocked").when(F.size(failed) == 0, "passed").when(marker != "", "blocked").otherwise("failed_quality_gate")
 
 
 def rescue(attempts: DataFrame, keys: Sequence[str], position: str, strategy: str, passed: Column) -> DataFrame:

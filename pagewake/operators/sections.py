@@ -49,18 +49,19 @@ def cascade(text: Column, table: Sequence[tuple], field: int = 0, other: str = G
     return out
 
 
-def inventory(pages: DataFrame, site: str, url: str, path: str, docs: str, depth: int = 3, samples: int = 4) -> DataFrame:
-    """A row for each site and section: level, pages, pages with documents, documents, child sections, samples.
+def inventory(pages: DataFrame, site: str, url: str, path: str, docs: str, depth: int = 3) -> DataFrame:
+    """A row for each site and section: level, pages, pages with documents, distinct documents, child sections, a sample.
 
-    `docs` is a number of documents of the page; a page counts for each section above it.
+    `docs` holds the URLs of the documents that the page links; a page counts for each section above it.
     """
     of = pages.select(site, url, F.col(docs).alias("_docs"), F.explode(urls.section_prefixes(F.col(path), depth)).alias("section_path"))
+    linked = of.select(site, "section_path", F.explode("_docs").alias("doc")).distinct().groupBy(site, "section_path").agg(F.count("*").alias("doc_link_count"))
     each = of.groupBy(site, "section_path").agg(
         F.count_distinct(url).alias("page_count"),
-        F.count_distinct(F.when(F.col("_docs") > 0, F.col(url))).alias("page_with_docs_count"),
-        F.sum("_docs").alias("doc_link_count"),
+        F.count_distinct(F.when(F.size("_docs") > 0, F.col(url))).alias("page_with_docs_count"),
         F.min(url).alias("sample_url"),
     )
+    each = each.join(linked, [site, "section_path"], "left").withColumn("doc_link_count", F.coalesce("doc_link_count", F.lit(0)))
     each = each.withColumn("section_level", urls.path_level(F.col("section_path")))
     children = each.where("section_level > 1").withColumn("parent", F.regexp_extract("section_path", "^(.*)/[^/]*$", 1)).groupBy(site, F.col("parent").alias("section_path")).agg(F.count("*").alias("child_section_count"))
     return each.join(children, [site, "section_path"], "left").withColumn("child_section_count", F.coalesce("child_section_count", F.lit(0)))

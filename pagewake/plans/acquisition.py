@@ -26,16 +26,18 @@ _TOLD = f"""{ATTEMPTS}, seen AS (SELECT request_id, position, executor, CASE WHE
     CASE WHEN words < 20 THEN 'word_count ' || words || ' < min_words 20' END, CASE WHEN links < 3 THEN 'link_count ' || links || ' < min_links 3' END], lambda x: x IS NOT NULL) AS failed FROM told)"""
 
 
-@register(f"WITH {_TOLD} SELECT request_id, position, executor, array_to_string(failed, '; ') AS failure_reason, CASE WHEN before IN ('error', 'blocked') THEN before WHEN len(failed) = 0 THEN 'passed' WHEN marker <> '' THEN 'blocked' ELSE 'failed_quality_gate' END AS outcome FROM gates")
+@register(f"WITH {_TOLD} SELECT request_id, position, executor, CASE before WHEN 'error' THEN 'ReadTimeout' WHEN 'blocked' THEN 'blocked marker found: robot' ELSE array_to_string(failed, '; ') END AS failure_reason, CASE WHEN before IN ('error', 'blocked') THEN before WHEN len(failed) = 0 THEN 'passed' WHEN marker <> '' THEN 'blocked' ELSE 'failed_quality_gate' END AS outcome FROM gates")
 def attempt_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality gates of attempts, with 20 words at least."""
+    """Quality gates of attempts, with 20 words at least; errors and blocks keep the reasons that they came with."""
     by = F.col("request_id")
     pick = lambda *values: F.get(F.array(*map(F.lit, values)), by % len(values))
     body = F.when(by % 7 == 0, F.concat(F.lit("Captcha "), "body")).otherwise(F.col("body"))
     seen = views.attempts(spark, sf_dir).withColumn("body", body).withColumn("marker", F.coalesce(texts.blocked_marker(F.col("body"), acquisition.BLOCKED), F.lit("")))
     failed = acquisition.failed_gates(F.col("marker"), pick(200, 204, 404, None), texts.word_count(F.col("body")), F.col("position") * 2, F.lit(0), min_words=20)
-    told = seen.withColumn("failed", failed)
-    return told.select("request_id", "position", "executor", F.array_join("failed", "; ").alias("failure_reason"), acquisition.outcome(pick("passed", "passed", "passed", "error", "blocked"), F.lit(""), F.col("marker"), F.col("failed")).alias("outcome"))
+    before = pick("passed", "passed", "passed", "error", "blocked")
+    came_with = F.when(before == "error", "ReadTimeout").when(before == "blocked", "blocked marker found: robot").otherwise("")
+    told = seen.withColumns({"failed": failed, "before": before, "came_with": came_with})
+    return told.select("request_id", "position", "executor", acquisition.failure_reason(F.col("before"), F.col("came_with"), F.col("failed")).alias("failure_reason"), acquisition.outcome(F.col("before"), F.col("came_with"), F.col("marker"), F.col("failed")).alias("outcome"))
 
 
 _KINDS = ("html", "xml_sitemap", "xml_feed")

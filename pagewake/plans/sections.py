@@ -12,11 +12,13 @@ from pagewake.sources.views import sql_path, sql_segments
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots of run 1, whose paths end in words of the sections, with a number of documents."""
+    """Snapshots of run 1, whose paths end in words of the sections, with the documents that they link; pages share some."""
     words = F.array(*map(F.lit, WORDS))
     s = views.snapshots(spark, sf_dir).where("run_id = 1")
     path = F.concat("path", F.lit("/"), F.get(words, F.col("page_id") % len(WORDS)))
-    return s.select(F.col("site"), F.concat("site", path).alias("url"), path.alias("path"), F.when(F.col("page_id") % 4 == 0, F.col("page_id") % 3).otherwise(F.lit(0)).cast("bigint").alias("docs"))
+    several = F.when(F.col("page_id") % 4 == 0, F.col("page_id") % 3).otherwise(F.lit(0)).cast("int")
+    docs = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), 1, several), lambda i: F.concat("site", F.lit("/files/"), ((F.col("page_id") + 4 * i) % 20).cast("string"), F.lit(".pdf")))
+    return s.select(F.col("site"), F.concat("site", path).alias("url"), path.alias("path"), docs.alias("docs"))
 
 
 #: Last segments that the views give to pages, so that all categories occur.
@@ -24,12 +26,12 @@ WORDS = ("research", "exam-req", "board", "budget", "member", "news", "archive",
 _LIST = ", ".join(f"'{w}'" for w in WORDS)
 _PAGES = f"""{views.SNAPSHOTS}, p AS (
   SELECT site, site || path || '/' || [{_LIST}][page_id % {len(WORDS)} + 1] AS url, path || '/' || [{_LIST}][page_id % {len(WORDS)} + 1] AS path,
-    (CASE WHEN page_id % 4 = 0 THEN page_id % 3 ELSE 0 END)::BIGINT AS docs FROM snapshots WHERE run_id = 1
+    list_transform(range(0, CASE WHEN page_id % 4 = 0 THEN page_id % 3 ELSE 0 END), lambda i: site || '/files/' || ((page_id + 4 * i) % 20) || '.pdf') AS docs FROM snapshots WHERE run_id = 1
 )"""
 _INVENTORY = f"""{_PAGES}, o AS (
   SELECT site, url, docs, unnest(list_transform(range(1, least(len({sql_segments('path')}), 3) + 1), lambda i: '/' || list_aggregate({sql_segments('path')}[1:i], 'string_agg', '/'))) AS section_path FROM p
 ), e AS (
-  SELECT site, section_path, count(DISTINCT url) AS page_count, count(DISTINCT CASE WHEN docs > 0 THEN url END) AS page_with_docs_count, sum(docs)::BIGINT AS doc_link_count, min(url) AS sample_url,
+  SELECT site, section_path, count(DISTINCT url) AS page_count, count(DISTINCT CASE WHEN len(docs) > 0 THEN url END) AS page_with_docs_count, len(list_distinct(flatten(list(docs)))) AS doc_link_count, min(url) AS sample_url,
     len({sql_segments('section_path')})::INT AS section_level FROM o GROUP BY ALL
 ), inv AS (
   SELECT e.*, coalesce(c.n, 0) AS child_section_count FROM e LEFT JOIN (SELECT site, regexp_extract(section_path, '^(.*)/[^/]*$', 1) AS parent, count(*) AS n FROM e WHERE section_level > 1 GROUP BY ALL) c ON c.site = e.site AND c.parent = e.section_path
@@ -129,7 +131,7 @@ def _sql_source(field: int) -> str:
     return f"CASE {cases(sources_of_files.IN_URL_OR_TITLE, 'head')} {cases(sources_of_files.IN_EXCERPT, 'body')} ELSE '{'general_reference' if field == 0 else 'medium'}' END"
 
 
-@register(f"WITH {_PAGES}, t AS (SELECT url, docs AS files, lower({sql_path('url')} || ' ' || 'Title') AS head, CASE WHEN docs > 0 THEN 'a journal of 1999' ELSE 'since 2001' END AS body FROM p) SELECT url, {_sql_source(0)} AS source_category, {_sql_source(3)} AS business_importance, {_sql_source(4)} AS conversion_priority FROM t")
+@register(f"WITH {_PAGES}, t AS (SELECT url, len(docs) AS files, lower({sql_path('url')} || ' ' || 'Title') AS head, CASE WHEN len(docs) > 0 THEN 'a journal of 1999' ELSE 'since 2001' END AS body FROM p) SELECT url, {_sql_source(0)} AS source_category, {_sql_source(3)} AS business_importance, {_sql_source(4)} AS conversion_priority FROM t")
 def source_page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pages(spark, sf_dir).select("url", F.lit("Title").alias("title"), F.when(F.col("docs") > 0, "A Journal of 1999").otherwise("since 2001").alias("excerpt"), F.col("docs").alias("files"))
+    p = _pages(spark, sf_dir).select("url", F.lit("Title").alias("title"), F.when(F.size("docs") > 0, "A Journal of 1999").otherwise("since 2001").alias("excerpt"), F.size("docs").cast("bigint").alias("files"))
     return sources_of_files.classify(p, "url", "title", "excerpt", "files").select("url", "source_category", "business_importance", "conversion_priority")

@@ -54,7 +54,7 @@ def test_review_takes_the_most_severe_then_heaviest_then_first(spark):
 
 
 def test_sections_and_branches(spark):
-    pages = spark.createDataFrame([("s", "u1", "/r/research/x", 1), ("s", "u2", "/r/research/y", 0), ("s", "u3", "/r/board", 0), ("s", "u4", "/", 3)], "s string, u string, path string, docs int")
+    pages = spark.createDataFrame([("s", "u1", "/r/research/x", ["d"]), ("s", "u2", "/r/research/y", ["d"]), ("s", "u3", "/r/board", []), ("s", "u4", "/", ["e", "f", "g"])], "s string, u string, path string, docs array<string>")
     found = sections.classify(sections.inventory(pages, "s", "u", "path", "docs"))
     got = {r.section_path: (r.page_count, r.doc_link_count, r.child_section_count, r.source_category) for r in found.collect()}
     assert got["/r"][:3] == (3, 1, 2) and got["/r/research"][:3] == (2, 1, 2) and got["/r/board"] == (1, 0, 0, "governance_management")
