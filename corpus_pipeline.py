@@ -29,29 +29,37 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts and texts without a letter go; repeated rows stay or go together; without labels the letter alone decides. Further columns pass through."""
     return language_id.determined(docs, language_id.train(docs, F.lit(True)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of one key and text count as one document; texts that are null, empty or blank afterwards go. Further columns pass through, whatever their names."""
     return line_dedup.dedup(docs).where(F.trim("text") != "").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are told apart by key and text: of repeated rows one stays, and texts without a key are copies if equal."""
-    found = near_duplicates.find(docs, size=5, percent=80).withColumnsRenamed({"doc_id": "_id", "text_hash": "_t"})
-    told = found.groupBy("_id", "_t").agg(F.every("kept").alias("_kept"), F.count("*").alias("_rows")).where("NOT _kept OR _rows > 1").checkpoint()
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_hash"))
+    """Rows are told apart by key and text: of repeated rows one stays, and texts without a key are copies if equal.
+
+    Null and empty texts have no shingles and stay, once for each key. A row travels as one value, so its columns can't clash.
+    """
+    found = near_duplicates.find(docs, size=5, percent=80)
+    told = found.groupBy("doc_id", "text_hash").agg(F.every("kept").alias("kept"), F.count("*").alias("rows")).where("NOT kept OR rows > 1").checkpoint()
+    told = told.select(F.col("doc_id").alias("told_key"), F.col("text_hash").alias("told_hash"), "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("hash"))
+    same = F.col("told_key").eqNullSafe(F.col("key")) & (F.col("told_hash") == F.col("hash"))
     single = rows.join(told.hint("shuffle_hash"), same, "left_anti")
-    repeated = rows.join(told.where("_kept").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return single.unionByName(repeated).select(*docs.columns)
+    repeated = rows.join(told.where("kept").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["key", "hash"])
+    return single.unionByName(repeated).select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an occurrence of a benchmark window go; null and empty texts stay, and with an empty benchmark all do. Further columns pass through."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row, repeated ones too; a null text is encoded as the empty one."""
     return bpe.encode(docs, public_tokenizers.path(TOKENIZER), with_decoded=False)
 
 
@@ -76,5 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Hashes, trained models and tokenizers have no SQL form; tests hold the stages against brute force.
+#: Hashes, trained models and tokenizers have no SQL form.
 ORACLE_SQL = None
