@@ -329,6 +329,20 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, sf):
     assert corpus_pipeline.near_dedup(spark, table.limit(0), sf).count() == 0
 
 
+@pytest.mark.parametrize("stage", ["language_id", "line_dedup", "near_duplicates", "decontaminate"])
+def test_pipeline_stages_leave_clashing_columns_as_they_are(spark, sf, stage):
+    names = ["_id", "_t", "_hash", "_kept", "row", "key", "hash", "kept", "told_key", "text_hash", "component_id", "n_words", "lost"]
+    rows = [(i, text(60) if i < 3 else t, "en", *[f"{n}{i}" for n in names]) for i, t in enumerate([None, None, None, "", None, "12 !"])]
+    rows += [(1, rows[1][1], "en", *rows[1][3:]), (9, rows[2][1] + " more", "en", *[f"{n}9" for n in names])]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    run = dict(corpus_pipeline.STAGES)[stage]
+    kept = run(spark, table, sf).collect()
+    by_id = {r[0]: r for r in rows}
+    assert kept and kept[0].__fields__ == table.columns
+    assert all(tuple(r)[2:] == by_id[r.doc_id][2:] for r in kept)
+    assert run(spark, table.limit(0), sf).count() == 0
+
+
 def test_pipeline_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "n_tokens", "token_ids"} <= set(got.columns)
