@@ -88,7 +88,10 @@ def _sql_levels(rows: str, name: str) -> str:
 _OBSERVED = f"{SNAPSHOTS}, {FILES}, pr AS (SELECT * FROM snapshots WHERE run_id = 1), fr AS (SELECT f.id, s.path, s.canonical_url FROM files f JOIN snapshots s ON s.page_id = f.page_id AND s.run_id = f.run_id WHERE f.run_id = 1)"
 
 
-@register(f"WITH {_OBSERVED}, a AS ({_sql_levels('pr', 'pages')}), b AS ({_sql_levels('fr', 'files')}), c AS (SELECT 1 AS level, '/research' AS directory) SELECT 1 AS run_id, coalesce(a.level, b.level, c.level) AS level, coalesce(a.directory, b.directory, c.directory) AS directory, coalesce(pages, 0) AS pages, coalesce(files, 0) AS files FROM a FULL JOIN b ON a.level = b.level AND a.directory = b.directory FULL JOIN c ON c.level = coalesce(a.level, b.level) AND c.directory = coalesce(a.directory, b.directory)")
+DIRECTORIES = f"WITH {_OBSERVED}, a AS ({_sql_levels('pr', 'pages')}), b AS ({_sql_levels('fr', 'files')}), c AS (SELECT 1 AS level, '/research' AS directory) SELECT 1 AS run_id, coalesce(a.level, b.level, c.level) AS level, coalesce(a.directory, b.directory, c.directory) AS directory, coalesce(pages, 0) AS pages, coalesce(files, 0) AS files FROM a FULL JOIN b ON a.level = b.level AND a.directory = b.directory FULL JOIN c ON c.level = coalesce(a.level, b.level) AND c.directory = coalesce(a.directory, b.directory)"
+
+
+@register(DIRECTORIES)
 def baseline_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.snapshots(spark, sf_dir).where("run_id = 1").select("run_id", "page_id", "path")
     files = views.file_observations(spark, sf_dir).where("run_id = 1").select("page_id").join(pages, "page_id").select("run_id", "path")
