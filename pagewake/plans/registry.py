@@ -31,4 +31,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from pagewake.plans import acquisition, captures, changes, crawls, decisions, diagnosis, evidence, fallback, governance, histories, reports, runs, scans, sections, streams, texts, tracking, urls  # noqa: E402, F401
+from pagewake.plans import acquisition, captures, catalogs, changes, crawls, decisions, diagnosis, evidence, fallback, governance, histories, reports, runs, scans, sections, streams, texts, tracking, urls  # noqa: E402, F401
