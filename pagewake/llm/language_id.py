@@ -58,7 +58,7 @@ def separate(x: np.ndarray, y: np.ndarray, cost: float = 100.0, steps: int = 120
 
     Accelerated gradient descent; rows are weighted so that both sides count alike.
     """
-    x1, y = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32), y.astype(np.float32)
+    x1, y = np.hstack([x, np.ones((len(x), 1), np.float32)], dtype=np.float32), y.astype(np.float32)
     share = (np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())) * cost).astype(np.float32)
     step = np.float32(1.0 / (1.0 + 2 * float(share @ (x1 * x1).sum(1))))
     w = v = np.zeros(x1.shape[1], np.float32)
@@ -152,7 +152,12 @@ def train(docs: DataFrame, train_if: Column, key: str = "doc_id", text: str = "t
     drawn = F.col("h").bitwiseAND(F.lit((1 << 63) - 1)).cast("double") <= below[F.col("label")]
     sample = rows.where(drawn).groupBy("label", "h").agg(F.first("body").alias("body"))
     got = sorted(map(tuple, sample.mapInArrow(run, "label string, h bigint, x binary").collect()))
-    return fit(np.array([np.frombuffer(x, np.float32) for _, _, x in got]), [v for v, _, _ in got]) if got else None
+    if not got:
+        return None
+    labels, x = [v for v, _, _ in got], np.empty((len(got), BUCKETS), np.float32)
+    for i in reversed(range(len(got))):  # each row's bytes go as soon as they are in the matrix
+        x[i] = np.frombuffer(got.pop()[2], np.float32)
+    return fit(x, labels)
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
