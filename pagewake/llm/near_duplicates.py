@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_folder, words
+from .common import pieces, shared_folder, words, written
 from .components import components
 
 #: A pair of similarity 0.8 shares no bucket with probability (1 - 0.8**ROWS)**BANDS = 2e-5.
@@ -218,7 +218,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
         labels = components(links.unionByName(more))
 
     named = classes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    least = written(named.groupBy("label").agg(F.min("least").alias("component_id")))
     of_class = named.join(least, "label").select("digest", "component_id")
     out = rows.select("id", "t", "n", "digest").join(of_class, "digest", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("t").alias("text_hash"))
