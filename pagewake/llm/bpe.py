@@ -15,10 +15,12 @@ leftmost pair is merged first. A text is encoded whole, however long. Extra colu
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 from pathlib import Path
 from struct import pack
 
@@ -34,15 +36,19 @@ from .common import pieces
 TOKENS = 250_000
 #: Where a queue entry holds the position.
 POSITION = (1 << 32) - 1
-MARKS = (".", ",", ";", ":", "!", "?")
+#: The links of short pre-tokens at the start.
+AFTER, BEFORE = list(range(1, 65)), list(range(-1, 63))
+MARKS = frozenset(".,;:!?")
 
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The public pre-tokenizing pattern of byte-level BPE, with its white space spelled out.
 PATTERN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
+#: A blank and letters (Latin and Cyrillic ones, all of them in the pattern's \\p{L}): one pre-token.
+PLAIN = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f]+")
 #: White space before a blank: such a blank is no place to cut.
-AWKWARD = re.compile(rf"[{SPACE}\x1c-\x1f] ")
+AWKWARD = re.compile(rf"(?<=[{SPACE}\x1c-\x1f]) ")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -66,44 +72,46 @@ class Tokenizer:
         first = {b: vocab[c] for c, b in to_byte.items()}
         self.first = [first[b] for b in range(256)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
-        self.made = [vocab[a + b] for a, b in pairs]
-        self.ranks = {(vocab[a] << 20) | vocab[b]: rank << 32 for rank, (a, b) in enumerate(pairs)}
-        self.byte_ranks = {(a, b): r for a, x in first.items() for b, y in first.items() if (r := self.ranks.get((x << 20) | y)) is not None}
+        self.made, self.left, self.right = ([vocab[x] for x in side] for side in ([a + b for a, b in pairs], [a for a, _ in pairs], [b for _, b in pairs]))
+        after: list[dict] = [{} for _ in range(max(vocab.values()) + 1)]
+        for rank, (a, b) in enumerate(zip(self.left, self.right, strict=True)):
+            after[a][b] = rank << 32
+        none = {}.get
+        self.rank_after = [d.get if d else none for d in after]  # by left symbol, the lookup of the right one
+        self.byte_ranks = {(a, b): r for a, x in first.items() for b, y in first.items() if (r := after[x].get(y)) is not None}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.tokens: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
-        """The ids of one pre-token. A queue entry is its rank, shifted, with the left position below."""
+        """The ids of one pre-token. A queue entry is its rank, shifted, with the left position below.
+
+        It is stale if its rule's two symbols don't stand there any more: a symbol only changes by growing, so they never come back.
+        """
         n = len(data)
-        live = list(map(self.byte_ranks.get, zip(data, data[1:], strict=False)))  # by left position, the rank of the pair that stands there
-        queue = [rank | i for i, rank in enumerate(live) if rank is not None]
-        live.append(None)
-        heapq.heapify(queue)
-        ids, get = [self.first[b] for b in data], self.ranks.get
-        after, before = list(range(1, n + 1)), list(range(-1, n))
+        queue = [rank | i for i, rank in enumerate(map(self.byte_ranks.get, pairwise(data))) if rank is not None]
+        heapify(queue)
+        ids = list(map(self.first.__getitem__, data))
+        made, left, right, rank_after = self.made, self.left, self.right, self.rank_after
+        after, before = (AFTER[:n], BEFORE[:n]) if n < len(AFTER) else (list(range(1, n + 1)), list(range(-1, n - 1)))
         while queue:
-            top = heapq.heappop(queue)
-            i = top & POSITION
-            if live[i] != (rank := top - i):
-                continue  # stale: another pair stands here by now
-            j, a = after[i], self.made[rank >> 32]
-            ids[i], ids[j] = a, -1
-            live[j] = None
+            top = heappop(queue)
+            i, rule = top & POSITION, top >> 32
+            if ids[i] != left[rule] or ids[j := after[i]] != right[rule]:
+                continue
+            ids[i] = a = made[rule]
+            ids[j] = -1
             after[i] = k = after[j]
-            before[k] = i
-            live[i] = rank = get((a << 20) | ids[k]) if k < n else None
-            if rank is not None:
-                heapq.heappush(queue, rank | i)
-            if (h := before[i]) >= 0:
-                live[h] = rank = get((ids[h] << 20) | a)
-                if rank is not None:
-                    heapq.heappush(queue, rank | h)
+            if k < n:
+                before[k] = i
+                if (rank := rank_after[a](ids[k])) is not None:
+                    heappush(queue, rank | i)
+            if i and (rank := rank_after[ids[h := before[i]]](a)) is not None:
+                heappush(queue, rank | h)
         return [x for x in ids if x >= 0]
 
     def token(self, text: str) -> bytes:
         """The ids of one pre-token as 32-bit integers."""
-        data = text.encode("utf-8", "surrogatepass")
-        found = np.array(self.merge(data), np.int32).tobytes()
+        found = array("i", self.merge(text.encode("utf-8", "surrogatepass"))).tobytes()
         if len(text) < 64:
             if len(self.tokens) >= TOKENS:
                 self.tokens.clear()
@@ -117,18 +125,23 @@ class Tokenizer:
 
     def word(self, text: str) -> bytes:
         """The ids of a blank and a word; a mark after a letter is a token of its own."""
-        known = self.tokens.get
-        if text[-1:] in MARKS and text[-2:-1].isalpha() and (stem := known(text[:-1])):
-            return stem + (known(text[-1]) or self.token(text[-1]))
+        if PLAIN.fullmatch(text):
+            return self.token(text)
+        stem, mark, known = text[:-1], text[-1], self.tokens.get
+        if mark in MARKS and ((ids := stem[-1:].isalpha() and known(stem)) or PLAIN.fullmatch(stem)):
+            return (ids or self.token(stem)) + (known(mark) or self.token(mark))
         return self.piece(text)
 
     def ordinary(self, text: str) -> bytes:
         """The ids of a text without added tokens."""
-        if AWKWARD.search(text):
+        if "\0" in text or AWKWARD.search(text):
             return self.piece(text)
-        head, *tail = text.split(" ")
+        head, *tail = text.replace(" ", "\0 ").split("\0")
         known = self.tokens.get
-        return b"".join([self.piece(head), *[known(w) or self.word(w) for w in map(" ".__add__, tail)]])
+        found = list(map(known, tail))
+        if None in found:
+            found = [ids or known(w) or self.word(w) for ids, w in zip(found, tail, strict=True)]
+        return self.piece(head) + b"".join(found)
 
     def encode(self, text: str) -> np.ndarray:
         out, at = [], 0
