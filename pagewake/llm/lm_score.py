@@ -46,6 +46,8 @@ DIMENSION, BATCH, NOISE, RATE = 24, 4096, 32, 0.05
 TOKENS_A_PARAMETER, TOKENS_A_TASK = 4, 1_000_000
 #: Tokens that are scored together and in one matrix product, and parameters of a block when models are averaged.
 SLICE, PART, PARAMETERS = 65_536, 1024, 4096
+#: Sums of exponentials up to which a row is taken again, so that none loses digits in 32 bits.
+FAINT = np.float32(1e-25)
 #: The word that stands for the end of a text in the counts; words are never empty.
 END_WORD = ""
 
@@ -89,24 +91,27 @@ def nudge(table: np.ndarray, past: np.ndarray, at: np.ndarray, gradient: np.ndar
     table[rows] += RATE * g / np.sqrt(seen, out=seen)
 
 
-def contrast(h: np.ndarray, target: np.ndarray, table: np.ndarray, past: np.ndarray, frequency: np.ndarray, cumulated: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """One step of noise-contrastive estimation of a prediction table, with NOISE samples shared by the batch; the gradient of h."""
-    noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE, np.float32)), len(frequency) - 1)
-    h1 = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
-    rows, others, log_share = table[target], table[noise], np.log(NOISE * frequency)
-    good, bad = np.einsum("ij,ij->i", h1, rows) - log_share[target], h1 @ others.T
-    bad -= log_share[noise]
+def contrast(h1: np.ndarray, target: np.ndarray, table: np.ndarray, past: np.ndarray, log_share: np.ndarray, cumulated: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One step of noise-contrastive estimation of a prediction table, with NOISE samples shared by the batch; the gradient of h1, vectors with a 1 behind for the bias.
+
+    `log_share` holds the logarithms of the expected number of samples of each row.
+    """
+    noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE, np.float32)), len(log_share) - 1)
+    rows, others = table[target], table[noise]
+    against = -others
+    against[:, -1] += log_share[noise]
+    good, down = np.einsum("ij,ij->i", h1, rows) - log_share[target], h1 @ against.T
     up = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # of the logarithm of the posterior of data, and of noise
-    np.clip(bad, -30, 30, out=bad)
-    down = np.exp(np.negative(bad, out=bad), out=bad)
+    np.exp(np.minimum(down, 30, out=down), out=down)
     down += 1
     np.divide(-1, down, out=down)
-    of_noise = down.T @ h1
+    gradient = np.empty((len(target) + NOISE, h1.shape[1]), np.float32)
+    np.multiply(h1, up[:, None], out=gradient[: len(target)])
+    np.matmul(down.T, h1, out=gradient[len(target) :])
+    nudge(table, past, np.concatenate([target, noise]), gradient)
     rows *= up[:, None]
     rows += down @ others
-    h1 *= up[:, None]
-    nudge(table, past, np.concatenate([target, noise]), np.concatenate([h1, of_noise]))
-    return rows[:, :-1]
+    return rows
 
 
 class Trainer:
@@ -116,7 +121,7 @@ class Trainer:
         self.shape, self.flat, self.rng = shape, flat.copy(), np.random.default_rng(seed)
         self.tables, self.past = shape.tables(self.flat), [np.ones(p, np.float32) for p in shape.parts]
         groups = np.add.reduceat(frequency, np.arange(0, len(frequency), shape.size))
-        self.frequencies = [(f.astype(np.float32), np.cumsum(f) / f.sum()) for f in (frequency, groups)]
+        self.frequencies = [(np.log(NOISE * f.astype(np.float32)), np.cumsum(f) / f.sum()) for f in (frequency, groups)]
 
     def learn(self, symbols: np.ndarray) -> None:
         """A step for each BATCH of the symbols of some texts, START twice before each."""
@@ -126,23 +131,31 @@ class Trainer:
         for start in range(0, len(at), BATCH):
             t = at[start : start + BATCH]
             a, b, w = symbols[t - 2], symbols[t - 1], symbols[t]
-            h = far[a] + near[b]
-            dh = contrast(h, w, out, self.past[2], *self.frequencies[0], self.rng)
-            dh += contrast(h, w // self.shape.size, heads, self.past[3], *self.frequencies[1], self.rng)
-            nudge(far, self.past[0], a, dh)
-            nudge(near, self.past[1], b, dh)
+            h1 = np.ones((len(t), DIMENSION + 1), np.float32)
+            np.add(far[a], near[b], out=h1[:, :-1])
+            dh = contrast(h1, w, out, self.past[2], *self.frequencies[0], self.rng)
+            dh += contrast(h1, w // self.shape.size, heads, self.past[3], *self.frequencies[1], self.rng)
+            nudge(far, self.past[0], a, dh[:, :-1])
+            nudge(near, self.past[1], b, dh[:, :-1])
 
 
-def log_softmax_at(h: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithms of the softmax over a table's rows, at one row for each h; in parts that stay in the cache."""
-    out, vectors, bias = np.empty(len(h), np.float32), np.ascontiguousarray(table[:, :-1].T), table[:, -1]
-    for start in range(0, len(h), PART):
+def log_softmax_at(h1: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithms of the softmax over a table's rows, at one row for each h1 (a 1 behind each vector); in parts that stay in the cache.
+
+    The greatest score of a part is taken off all of it, and rows far below that are taken again by their own.
+    """
+    out, columns, ones = np.empty(len(h1), np.float32), np.ascontiguousarray(table.T), np.ones(len(table), np.float32)
+    for start in range(0, len(h1), PART):
         part = slice(start, start + PART)
-        scores = h[part] @ vectors
-        scores += bias
-        scores -= scores.max(1, keepdims=True)
+        scores = h1[part] @ columns
+        scores -= scores.max()
         chosen = scores[np.arange(len(scores)), at[part]]
-        out[part] = chosen - np.log(np.exp(scores, out=scores).sum(1))
+        total = np.exp(scores, out=scores) @ ones
+        out[part] = chosen - np.log(np.maximum(total, FAINT))
+        if len(faint := start + np.flatnonzero(total <= FAINT)):
+            scores = h1[faint] @ columns
+            scores -= scores.max(1, keepdims=True)
+            out[faint] = scores[np.arange(len(scores)), at[faint]] - np.log(np.exp(scores).sum(1))
     return out
 
 
@@ -156,13 +169,14 @@ def log_probabilities(shape: Shape, flat: np.ndarray, symbols: np.ndarray) -> np
         w = symbols[t]
         t = t[np.argsort(w.astype(np.uint16), kind="stable")]
         w = symbols[t]
-        h = far[symbols[t - 2]] + near[symbols[t - 1]]
+        h1 = np.ones((len(t), DIMENSION + 1), np.float32)
+        np.add(far[symbols[t - 2]], near[symbols[t - 1]], out=h1[:, :-1])
         group = w // shape.size
-        result[t] = log_softmax_at(h, heads, group)
+        result[t] = log_softmax_at(h1, heads, group)
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         for i, j in zip(first, [*first[1:], len(t)], strict=True):
             members = slice(group[i] * shape.size, min(shape.predicted, (group[i] + 1) * shape.size))
-            result[t[i:j]] += log_softmax_at(h[i:j], out[members], w[i:j] - members.start)
+            result[t[i:j]] += log_softmax_at(h1[i:j], out[members], w[i:j] - members.start)
     return result
 
 
