@@ -81,7 +81,9 @@ def text_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unified diffs of each page's Markdown between the runs, of pages that changed."""
     from pagewake.sources import views
 
-    c = html.normalize(views.captures(spark, sf_dir).withColumn("page_id", F.struct("page_id", "run_id")))
-    c = c.select("page_id.*", F.when(F.col("page_id.run_id") == 2, F.concat("markdown", F.lit("\nlast line"))).otherwise(F.col("markdown")).alias("markdown"))
-    both = c.where("run_id = 1").select("page_id", F.col("markdown").alias("old")).join(c.where("run_id = 2").select("page_id", F.col("markdown").alias("new")), "page_id")
+    def markdown(run: int) -> DataFrame:
+        return html.normalize(views.captures(spark, sf_dir).where(F.col("run_id") == run)).select("page_id", "markdown")
+
+    new = markdown(2).select("page_id", F.concat("markdown", F.lit("\nlast line")).alias("new"))
+    both = markdown(1).withColumnRenamed("markdown", "old").join(new, "page_id")
     return both.where(texts.content_hash(F.col("old")) != texts.content_hash(F.col("new"))).select("page_id", html.unified_diff("old", "new").alias("diff"))
